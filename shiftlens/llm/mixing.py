@@ -6,8 +6,8 @@ dealt again by weight, which is water filling: one level, found from prefix sums
 the sources sorted by capacity per weight.
 
 Inside a source, documents are range-sorted by a hash-random key. The key's leading
-32 bits cut a source into as many equal ranges as its row count asks for, so a source
-with a third of all rows is spread like any other. Range totals give distributed
+32 bits cut a source into as many equal ranges as its share of the rows asks for, so a
+source with a third of all rows is spread over a third of the tasks. Range totals give distributed
 prefix sums, and the budget is cut exactly: full epochs first, then the prefix, with
 the document at the cut taken in part.
 
@@ -75,14 +75,16 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    rows_per_range: int = 50_000,
+    ranges_per_task: int = 4,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the columns in ``keep``, a row per input row."""
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     narrow = materialize(base.select("doc_id", "source", "size"), "mix-sizes")
     targets = materialize(source_targets(narrow, weights, share, cap), "mix-sources")
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rows_per_range))
+    spread = ranges_per_task * shuffle_partitions(docs.sparkSession)
+    n_rows = targets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    ranges = F.greatest(F.lit(1), F.ceil(F.col("n_rows") * spread / max(1, n_rows)))
     n_sources, n_ranges = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(ranges), F.lit(0))).first()
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
