@@ -14,7 +14,8 @@ chunks, and each document's removals meet its text. Memory: one batch and one te
 Defined results: null text stays null and has no lines; empty text stays empty; lines
 end at ``\\n`` only; a row is known by its doc_id and text, so that rows repeating both
 share their fate, and all rows with the smallest doc_id count as its first document;
-null ids come last; an empty table gives an empty result.
+null ids come last; an empty table gives an empty result; an input column named
+lines_removed is replaced.
 """
 
 from __future__ import annotations
@@ -122,13 +123,13 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, window: int = 2, solo_word
     keeps = F.coalesce("doc_id", F.lit(LAST)) == F.col("keeper")
     # the keeper keeps the first occurrence; its later ones go as well
     mark = F.struct("first", "after", F.when(keeps, F.col("h1")).alias("kept1"), F.when(keeps, F.col("h2")).alias("kept2"))
-    cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias("_cuts"))
-    cuts = cuts.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), "_cuts")
-    base = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_th"))
-    marked = base.join(cuts.hint("shuffle_hash"), ["_id", "_th"], "left")
+    cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias("__cuts"))
+    cuts = cuts.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("th").alias("__th"), "__cuts")
+    base = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64("text").alias("__th"))
+    marked = base.join(cuts.hint("shuffle_hash"), ["__id", "__th"], "left")
 
-    others = [c for c in docs.columns if c != "text"]
-    at = docs.columns.index("text")
+    others = [c for c in docs.columns if c not in ("text", "lines_removed")]
+    at = [c for c in docs.columns if c != "lines_removed"].index("text")
     schema = docs.select(*others).schema.add("text", "string").add("lines_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, window: int = 2, solo_word
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*others, "text", "lines_removed"])
 
-    out = marked.select(*others, "text", "_cuts").mapInArrow(run, schema)
+    out = marked.select(*others, "text", "__cuts").mapInArrow(run, schema)
     return out.select(*others[:at], "text", *others[at:], "lines_removed")
 
 

@@ -238,8 +238,8 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """
     found = classify(docs, width, distance)
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("of"))
-    chosen = chosen.select(F.coalesce("of.doc_id", F.lit(0)).alias("_id"), F.col("of.none").alias("_none"), F.col("of.th").alias("_th"))
-    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_id"), docs["doc_id"].isNull().alias("_none"), F.xxhash64("text").alias("_th"))
-    kept = rows.join(chosen.hint("shuffle_hash"), ["_id", "_none", "_th"], "left_semi")
-    same = Window.partitionBy("_id", "_none", "_th").orderBy("_th")
-    return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns)
+    chosen = chosen.select(F.coalesce("of.doc_id", F.lit(0)).alias("__id"), F.col("of.none").alias("__none"), F.col("of.th").alias("__th"))
+    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), docs["doc_id"].isNull().alias("__none"), F.xxhash64("text").alias("__th"))
+    kept = rows.join(chosen.hint("shuffle_hash"), ["__id", "__none", "__th"], "left_semi")
+    same = Window.partitionBy("__id", "__none", "__th").orderBy("__th")
+    return kept.withColumn("__row", F.row_number().over(same)).where("__row = 1").select(*docs.columns)

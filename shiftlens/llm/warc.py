@@ -171,7 +171,7 @@ class WarcReader(DataSourceReader):
                 held, size = [], 0
             held.append(f"{scheme}{authority}{path}")
             size += n
-        return [*out, Files(tuple(held))] if held else out
+        return [*out, Files(tuple(held))] if held or not out else out
 
     def wanted(self, head: dict[str, str]) -> bool:
         for field, how, value in self.tests:
