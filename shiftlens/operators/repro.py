@@ -15,11 +15,11 @@ def bounded(n: int | None, usual: int, most: int) -> int:
 
 
 def select_rows(groups: list[DataFrame], limit: int | None = None) -> DataFrame:
-    """Rows (``row_id``, ``at``) of several groups, earlier groups first, each row once, up to the limit."""
-    ranked = reduce(DataFrame.unionByName, (g.select("row_id", "at", F.lit(k).alias("priority")) for k, g in enumerate(groups)))
-    once = Window.partitionBy("row_id").orderBy("priority", "at")
+    """Rows (``row_id``, ``place``) of several groups, earlier groups first, each row once, up to the limit."""
+    ranked = reduce(DataFrame.unionByName, (g.select("row_id", "place", F.lit(k).alias("priority")) for k, g in enumerate(groups)))
+    once = Window.partitionBy("row_id").orderBy("priority", "place")
     kept = ranked.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    return kept.orderBy("priority", "at", "row_id").limit(bounded(limit, ROWS, MOST_ROWS))
+    return kept.orderBy("priority", "place", "row_id").limit(bounded(limit, ROWS, MOST_ROWS))
 
 
 def select_columns(key: bytes | None, groups: list[list[bytes]], limit: int | None = None) -> list[bytes]:
