@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shiftlens.functions.text import contribution
+from shiftlens.functions.text import contribution, is_missing, parse_numeric
 from shiftlens.plans.options import TOP
 from shiftlens.plans.refusal import Refused
 from shiftlens.sources.table import Table
@@ -32,24 +32,14 @@ class Typed:
     changed: int
 
 
-def long_cells(a: Aligned, old: Table, new: Table, columns: Columns, only: list[int] | None = None) -> DataFrame:
+def long_cells(a: Aligned, columns: Columns, only: list[int] | None = None) -> DataFrame:
     """A row per cell: ord, col, texts, numbers and whether each side is missing."""
     wanted = range(len(columns.names)) if only is None else only
-    parts = []
-    for k in wanted:
-        o, n = F.col(f"o{k}"), F.col(f"n{k}")
-        parts.append(
-            F.struct(
-                F.lit(k).alias("col"),
-                o.alias("o"),
-                n.alias("n"),
-                old.number(o, columns.old[k]).alias("x"),
-                new.number(n, columns.new[k]).alias("y"),
-                old.missing(o).alias("mo"),
-                new.missing(n).alias("mn"),
-            )
-        )
-    return a.df.select("ord", F.explode(F.array(*parts)).alias("c")).select("ord", "c.*")
+    # texts are spread first, so that the grammar is one expression however many columns there are
+    parts = F.array(*(F.struct(F.lit(k).alias("col"), F.col(f"o{k}").alias("o"), F.col(f"n{k}").alias("n")) for k in wanted))
+    cells = a.df.select("ord", F.explode(parts).alias("c")).select("ord", "c.*")
+    o, n = F.col("o"), F.col("n")
+    return cells.select("*", parse_numeric(o).alias("x"), parse_numeric(n).alias("y"), is_missing(o).alias("mo"), is_missing(n).alias("mn"))
 
 
 def first(condition: Column, *what: Column) -> Column:
@@ -66,7 +56,7 @@ def type_columns(a: Aligned, old: Table, new: Table, columns: Columns, tolerance
     """
     if not columns.names:
         return Typed(a.df.count(), [], 0.0, 0.0, 0)
-    cells = long_cells(a, old, new, columns)
+    cells = long_cells(a, columns)
     x, y, mo, mn = F.col("x").isNotNull(), F.col("y").isNotNull(), F.col("mo"), F.col("mn")
     text_old, text_new = ~mo & ~x, ~mn & ~y
     by_old = text_old  # both text, too: the old side is named
@@ -98,9 +88,9 @@ def type_columns(a: Aligned, old: Table, new: Table, columns: Columns, tolerance
     return Typed(rows, numeric, sum((r["total"] or 0.0 for r in use), 0.0), max((r["largest"] or 0.0 for r in use), default=0.0), sum(r["changed"] for r in use))
 
 
-def changes(a: Aligned, old: Table, new: Table, columns: Columns, numeric: list[int], tolerance: float) -> DataFrame:
+def changes(a: Aligned, columns: Columns, numeric: list[int], tolerance: float) -> DataFrame:
     """The numeric cells that changed: ord, col, x, y, delta, contribution."""
-    cells = long_cells(a, old, new, columns, numeric).select("ord", "col", "x", "y", (F.col("y") - F.col("x")).alias("delta"))
+    cells = long_cells(a, columns, numeric).select("ord", "col", "x", "y", (F.col("y") - F.col("x")).alias("delta"))
     return cells.withColumn("contribution", contribution(F.col("delta"), tolerance)).where("contribution > 0")
 
 

@@ -145,7 +145,7 @@ def decide(old: Table, new: Table, aligned: align.Aligned, columns: cells.Column
     if not typed.numeric and not o.audit_fields:
         raise Refused("E_NO_NUMERIC", {}, counts)
 
-    changed = cells.changes(aligned, old, new, columns, typed.numeric, o.tolerance) if typed.changed else None
+    changed = cells.changes(aligned, columns, typed.numeric, o.tolerance) if typed.changed else None
     top = cells.listed(cells.largest(changed), columns, old, aligned.keyed) if typed.changed else []
     found = cells.coverage([c.contribution for c in top], typed.total, o.threshold)
     metrics = {"total_change": typed.total, "max_abs_delta": typed.largest, "top_k_coverage": found.covered}

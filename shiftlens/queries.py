@@ -62,8 +62,8 @@ def named(df: DataFrame) -> DataFrame:
 
 
 def changed(spark: SparkSession, sf_dir: str, new: DataFrame | None = None) -> DataFrame:
-    a, b, both = keyed(spark, sf_dir, new)
-    return cells.changes(both, a, b, NUMERIC, [0, 1], 1e-9)
+    _, _, both = keyed(spark, sf_dir, new)
+    return cells.changes(both, NUMERIC, [0, 1], 1e-9)
 
 
 BASE = """
@@ -85,8 +85,8 @@ def diff_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(BASE + "select count(*) as cells, count(*) filter (contribution > 0) as changed, round(sum(contribution), 6) as total_change, round(max(abs(delta)), 6) as max_abs_delta from d")
 def diff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, changed cells, total and largest change."""
-    a, b, both = keyed(spark, sf_dir)
-    d = cells.long_cells(both, a, b, NUMERIC).withColumn("delta", F.col("y") - F.col("x"))
+    _, _, both = keyed(spark, sf_dir)
+    d = cells.long_cells(both, NUMERIC).withColumn("delta", F.col("y") - F.col("x"))
     size = text.contribution(F.col("delta"), 1e-9)
     return d.agg(F.count(F.lit(1)).alias("cells"), F.count_if(size > 0).alias("changed"), F.round(F.sum(size), 6).alias("total_change"), F.round(F.max(F.abs("delta")), 6).alias("max_abs_delta"))
 
@@ -161,7 +161,7 @@ def row_order_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between records at the same place."""
     a, b = event_pair(spark, sf_dir)
     both, _ = align.by_order(a, b, [(1, 1)], [(b"event_id", 0, 0)])
-    found = cells.changes(both, a, b, cells.Columns([b"value"], [1], [1]), [0], 1e-9)
+    found = cells.changes(both, cells.Columns([b"value"], [1], [1]), [0], 1e-9)
     return found.select(F.col("ord").alias("record"), F.col("x").alias("old"), F.col("y").alias("new"))
 
 
@@ -251,7 +251,7 @@ def column_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = o.withColumn("c", F.when(F.col("c") == "-", "5").otherwise(F.col("c")))
     a, b = from_frame(o, "old"), from_frame(n, "new")
     columns = cells.Columns([b"a", b"b", b"c"], [1, 2, 3], [1, 2, 3])
-    d = cells.long_cells(align.by_key(a, b, 0, 0, [(1, 1), (2, 2), (3, 3)]), a, b, columns)
+    d = cells.long_cells(align.by_key(a, b, 0, 0, [(1, 1), (2, 2), (3, 3)]), columns)
     x, y, mo, mn = F.col("x").isNotNull(), F.col("y").isNotNull(), F.col("mo"), F.col("mn")
     firsts = d.groupBy("col").agg(
         F.min(F.when(x & y, F.col("ord"))).alias("first_numeric"), F.min(F.when(~mo & ~x | ~mn & ~y, F.col("ord"))).alias("first_text"), F.min(F.when(mo & y | mn & x, F.col("ord"))).alias("first_conflict")

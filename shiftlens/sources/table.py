@@ -11,19 +11,17 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from shiftlens.functions.text import is_blank, is_missing, parse_numeric
+from shiftlens.functions.text import is_blank
 from shiftlens.plans.refusal import Refused
 
 from . import dialect as d
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
 
 @dataclass
 class Table:
@@ -32,43 +30,28 @@ class Table:
     name: str
     encoding: str = "latin-1"
     dialect: d.Dialect | None = None
-    typed: set[int] = field(default_factory=set)
 
     def column_of(self, name: bytes) -> int | None:
         return self.headers.index(name) if name in self.headers else None
 
-    def text(self, i: int) -> Column:
-        return self.df[f"c{i}"]
-
     def bytes_of(self, text: str) -> bytes:
         return text.encode(self.encoding, "surrogatepass")
 
-    def number(self, c: Column, i: int) -> Column:
-        """The cell's number, else null; typed columns were cast to text exactly and read back."""
-        if i in self.typed:
-            v = c.try_cast("double")
-            return F.when(F.abs(v) < float("inf"), v)
-        return parse_numeric(c)
-
-    def missing(self, c: Column) -> Column:
-        return is_missing(c)
-
     def record_number(self, row_ord: int) -> int:
         """The record's place, from 1."""
         return self.df.where(F.col("row_ord") <= row_ord).count()
 
 
 def from_frame(df: DataFrame, name: str, order: str | None = None) -> Table:
-    """A DataFrame as a snapshot. Nulls are missing; typed numbers need no parsing.
+    """A DataFrame as a snapshot. Nulls are missing; a typed number's text is within the number grammar.
 
     ``order`` names the column that gives the record order; without one the order is
     that of the frame's partitions.
     """
-    typed = {i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, NUMERIC)}
     cols = [F.coalesce(F.col(f"`{f.name.replace('`', '``')}`").cast("string"), F.lit("")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
     if order:
         df = ordered(df, order)
-    return Table(df.select(F.monotonically_increasing_id().alias("row_ord"), *cols), [f.name.encode() for f in df.schema.fields], name, "utf-8", None, typed)
+    return Table(df.select(F.monotonically_increasing_id().alias("row_ord"), *cols), [f.name.encode() for f in df.schema.fields], name, "utf-8")
 
 
 def ordered(df: DataFrame, order: str) -> DataFrame:
@@ -152,20 +135,14 @@ def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = Non
     names = d.header_names(header, aliases or {}, side)
 
     rows = exact_records(spark, path, chosen, skip, len(names)) if quoted else plain_records(spark, path, chosen.delimiter, len(names), header, bom, sep)
-    rows = rows.where(~blank_row(len(names)))
+    # a flag, not the cells, is filtered on: the optimizer would carry conditions on every cell through the plan
+    rows = rows.where("not void").drop("void")
     extra = rows.where("extra").agg(F.min("row_ord")).first()[0]
     if extra is not None:
         raise Refused("E_HEADERS", {"file": side, "issue": "extra_fields", "record": rows.where(F.col("row_ord") <= extra).count()})
     return Table(rows.drop("extra"), names, path, "latin-1", chosen)
 
 
-def blank_row(n: int) -> Column:
-    out = ~F.col("extra")
-    for i in range(n):
-        out &= is_blank(F.col(f"c{i}"))
-    return out
-
-
 def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header: list[str], bom: int, sep: str | None) -> DataFrame:
     """Records of a file without quotes: the engine's splittable reader.
 
@@ -182,7 +159,8 @@ def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header
     odd = odd & (F.length(F.coalesce(F.col("c0"), F.lit(""))) >= 0)
     extra = F.coalesce(odd & F.exists(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), lambda x: ~is_blank(x)), F.lit(False))
     first = F.monotonically_increasing_id()
-    out = df.select(first.alias("row_ord"), *cells, extra.alias("extra"))
+    void = is_blank(F.concat(*cells)) & ~extra
+    out = df.select(first.alias("row_ord"), *cells, extra.alias("extra"), void.alias("void"))
     # the header, and what stands before it, is in the first rows of the first partition
     mark = "ï»¿" if bom else ""
     lead = out.where(F.col("row_ord") < 1 << 20)
@@ -204,14 +182,14 @@ def exact_records(spark: SparkSession, path: str, chosen: d.Dialect, skip: int,
                 rows: list[list] = []
                 for k, (_, f) in enumerate(d.records(text, chosen.delimiter, chosen.backslash)):
                     if k >= skip:
-                        rows.append([k, *f[:n], *[""] * (n - len(f)), not d.blank(f[n:])])
+                        rows.append([k, *f[:n], *[""] * (n - len(f)), not d.blank(f[n:]), d.blank(f)])
                     if len(rows) >= 20_000:
                         yield pack(rows)
                         rows = []
                 yield pack(rows)
 
     def pack(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.string()] * n, pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row_ord", *(f"c{i}" for i in range(n)), "extra"])
+        kinds = [pa.int64(), *[pa.string()] * n, pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row_ord", *(f"c{i}" for i in range(n)), "extra", "void"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"row_ord long, {fields}, extra boolean")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"row_ord long, {fields}, extra boolean, void boolean")
