@@ -5,9 +5,10 @@ joining is a piece, and the best-ranked, then leftmost, pair is merged until non
 left. The count is the initial symbols less the merges; a symbol outside the
 vocabulary counts as its UTF-8 bytes (byte fallback). No identifiers are made.
 
-No piece has a word mark after another character (checked on loading), so no merge
-crosses the start of a word, and a text's count is the sum over its words. Counts of
-short words are remembered in a table of bounded size.
+No merge crosses a place where no piece has the two characters side by side, such as
+the start of a word (taken from the vocabulary on loading), so a text's count is the
+sum over its segments. Counts of short segments are remembered in a table of bounded
+size.
 
 Rows are independent: no shuffle, one pass. Defined results: null and empty texts have
 0 bytes and tokens; repeated rows repeat; an empty table gives an empty result.
@@ -24,13 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: So many remembered words a worker, each of so many characters at most.
-REMEMBER, WORD_CHARS = 200_000, 48
+#: So many remembered segments a worker, each of so many characters at most.
+REMEMBER, WORD_CHARS = 500_000, 32
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
+class Known(dict):
+    """Counts by string, computed on first use; emptied when full."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, s: str) -> int:
+        n = self.count(s)
+        if len(s) <= WORD_CHARS:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[s] = n
+        return n
+
+
 class Merger:
-    """Counts the tokens that a SentencePiece BPE model gives."""
+    """Counts the tokens that a SentencePiece BPE model gives. Inside, a space stands for the word mark."""
 
     def __init__(self, model_file: str):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -42,60 +59,70 @@ class Merger:
         kinds = {p.type for p in model.pieces}
         if train.model_type != 2 or not train.byte_fallback or not plain or kinds - {1, 2, 3, 6}:
             raise ValueError(f"{model_file}: only BPE with byte fallback, identity normalisation and no user-defined or unused pieces")
-        self.prefix = MARK if norm.add_dummy_prefix else ""
-        self.rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
-        chars = set("".join(self.rank))
-        split = not any(MARK in p.lstrip(MARK) for p in self.rank)
-        alone = "" if "\n" in chars else "\n"  # no merge takes part in it
-        self.words = re.compile(f"[{alone}]+|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if split else re.compile(r".+", re.S)
-        self.known: dict[str, int] = {}
+        self.prefix = " " if norm.add_dummy_prefix else ""
+        pieces = {p.piece.replace(MARK, " "): p.score for p in model.pieces if p.type == 1}
+        order = {score: k for k, score in enumerate(sorted(set(pieces.values()), reverse=True))}
+        self.rank = {piece: order[score] for piece, score in pieces.items()}
+        self.chars = {p for p in pieces if len(p) == 1}
+        self.words = self.segments(pieces)
+        self.known = Known(self.merge)
+
+    @staticmethod
+    def segments(pieces) -> re.Pattern:
+        """Cuts a text where no merge can cross: where no piece has the two characters side by side.
+
+        Those places are the starts of words, line ends, and the end of a run of word
+        characters; a run ending in one that some piece continues isn't cut there.
+        """
+        adjacent = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
+        if any(b == " " != a for a, b in adjacent):
+            return re.compile(r".+", re.S)
+        glue = "".join(sorted({a for a, b in adjacent if b != " " and re.match(r"\w\W", a + b)}))
+        line = "" if any("\n" in pair for pair in adjacent) else r"\n"
+        rest = f"(?:(?<=[{re.escape(glue)}])[^ {line}]+)?" if glue else ""
+        word = rf"[^\w {line}]*\w+{rest}|[^\w {line}]+"
+        return re.compile(rf" *(?:{word})| +" + (r"|\n+" if line else ""))
 
     def merge(self, text: str) -> int:
-        rank, n = self.rank, len(text)
-        sym: list[str] = list(text)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[float, int, int, int]] = []
-        for i in range(n - 1):
-            r = rank.get(sym[i] + sym[i + 1])
-            if r is not None:
-                heap.append((r, i, i + 1, 2))
-        heapq.heapify(heap)
+        get, n = self.rank.get, len(text)
+        sym = list(text)
+        best = [get(text[i : i + 2]) for i in range(n - 1)]  # rank of the pair that begins at i
+        heap = [r * n + i for i, r in enumerate(best) if r is not None]
+        best.append(None)
         merges = 0
-        while heap:
-            _, a, b, size = heapq.heappop(heap)
-            if not sym[a] or not sym[b] or len(sym[a]) + len(sym[b]) != size or nxt[a] != b:
-                continue
-            sym[a] += sym[b]
-            sym[b] = ""
-            merges += 1
-            c = nxt[a] = nxt[b]
-            if c >= 0:
-                prev[c] = a
-                r = rank.get(sym[a] + sym[c])
-                if r is not None:
-                    heapq.heappush(heap, (r, a, c, size + len(sym[c])))
-            p = prev[a]
-            if p >= 0:
-                r = rank.get(sym[p] + sym[a])
-                if r is not None:
-                    heapq.heappush(heap, (r, p, a, size + len(sym[p])))
-        extra = sum(len(s.encode("utf-8", "surrogatepass")) - 1 for s in sym if s and s not in rank)
-        return n - merges + extra
+        if heap:
+            heapq.heapify(heap)
+            pop, push = heapq.heappop, heapq.heappush
+            prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+            while heap:
+                r, a = divmod(pop(heap), n)
+                if best[a] != r:
+                    continue  # one of the two has been merged meanwhile
+                b = nxt[a]
+                s = sym[a] = sym[a] + sym[b]
+                sym[b], best[b] = "", None
+                merges += 1
+                c = nxt[a] = nxt[b]
+                r = None
+                if c < n:
+                    prev[c] = a
+                    r = get(s + sym[c])
+                    if r is not None:
+                        push(heap, r * n + a)
+                best[a] = r
+                p = prev[a]
+                if p >= 0:
+                    r = best[p] = get(sym[p] + s)
+                    if r is not None:
+                        push(heap, r * n + p)
+        if self.chars.issuperset(text):
+            return n - merges
+        return n - merges + sum(len(s.encode("utf-8", "surrogatepass")) - 1 for s in sym if s and s not in self.rank)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        known, total = self.known, 0
-        for w in self.words.findall(self.prefix + text.replace(" ", MARK)):
-            n = known.get(w)
-            if n is None:
-                n = self.merge(w)
-                if len(w) <= WORD_CHARS:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[w] = n
-            total += n
-        return total
+        return sum(map(self.known.__getitem__, self.words.findall(self.prefix + text.replace(MARK, " "))))
 
 
 @functools.lru_cache(maxsize=2)
