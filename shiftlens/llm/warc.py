@@ -1,14 +1,17 @@
 """WARC archives: a writer, and a PySpark Python data source that reads them.
 
-Writing is DataFrame functions only. Pages are grouped by their payload's hash, so one
-payload of each kind is shuffled however many pages share it; of equal payloads of at
-least ``least`` bytes the page with the largest page_id is the response and the others
-are revisits without payload. Records go through the engine's own file writer, to any
-store it reaches, with its commit protocol.
+Pages are grouped by their payload's hash, so one payload of each kind is shuffled
+however many pages share it; of equal payloads of at least ``least`` bytes the page
+with the largest page_id is the response and the others are revisits without payload.
+Each record is a gzip member of its own, whose skip-lengths field (``sl``, of the WARC
+standard's annex on compression) says how far the next one is. A task writes hidden
+files, which are renamed once the whole job has succeeded and deleted where it failed.
 
 Reading: the source plans partitions of whole files up to a size, takes predicates on
-the record type and on header fields, parses a record's headers first, and skips by
-seeking the blocks of records that a predicate rejects, and payloads not asked for.
+the record type and on header fields, inflates and parses a record's headers first, and
+skips by seeking the rest of records that a predicate rejects, and payloads not asked
+for. Archives that aren't compressed are read as well. Paths may be local or of any
+store that pyarrow reaches (HDFS, S3, GCS).
 
 Defined results: null html is an empty payload; a null page_id is kept as null and is
 the smallest; of rows that repeat the largest page_id one is the response and the rest
@@ -18,12 +21,15 @@ an empty table gives an archive without records and an empty result.
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from .common import new_path
 
@@ -38,7 +44,9 @@ HEADERS = {
     "payload_digest": "warc-payload-digest",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD = 1 << 16
+#: Bytes read, before inflating, for a record's headers, and then at a time.
+HEAD, MORE = 1 << 10, 1 << 16
+FILE_BYTES = 256 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -104,8 +112,61 @@ def record(kind: str, page_id: str, url: str, size: str, digest: str, payload: C
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write one record per page into WARC files in the folder."""
-    records_of(pages, least).write.option("lineSep", END + END).text(path)
+    """Write one record per page into compressed WARC files in the folder."""
+    pages.sparkSession.dataSource.register(WarcSource)
+    records_of(pages, least).write.format("warc").option("path", path).mode("append").save()
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member with its skip lengths: its own size and that of the data (0: too large to say)."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    total = 24 + len(body) + 8
+    lengths = (total, len(data)) if max(total, len(data)) < 1 << 32 else (0, 0)
+    return b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, *lengths) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: tuple[str, ...]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Writes rows of one column, the records' texts."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root = store(self.path)
+        system.create_dir(root, recursive=True)
+        files, out, size = [], None, 0
+        for batch in iterator:
+            for cell in batch.column(0):
+                if out is None or size >= FILE_BYTES:
+                    if out:
+                        out.close()
+                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(f"{root}/_{files[-1]}", compression=None), 0
+                data = member(cell.as_py().encode("utf-8", "surrogatepass") + (END + END).encode())
+                out.write(data)
+                size += len(data)
+        if out:
+            out.close()
+        return Written(tuple(files))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = store(self.path)
+        system.create_dir(root, recursive=True)
+        for m in messages:
+            for name in m.files if m else ():
+                system.move(f"{root}/_{name}", f"{root}/{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, root = store(self.path)
+        for m in messages:
+            for name in m.files if m else ():
+                system.delete_file(f"{root}/_{name}")
 
 
 @dataclass
@@ -133,6 +194,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> WarcReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"])
+
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -194,44 +258,68 @@ class WarcReader(DataSourceReader):
         yield pack(rows)
 
     def records(self, raw) -> Iterator[tuple]:
-        """Headers first; a block is read only if the record and its payload are wanted."""
+        """Headers first; the rest is read, and inflated, only if the record and its payload are wanted."""
         at, end = 0, raw.size()
         while at < end:
-            head, body = read_head(raw, at, end)
+            data = Bytes(raw, at, end)
+            head, body = data.head(0)
             length = int(head["content-length"])
-            at = body + length + 4
+            at = data.stop if data.packed else at + body + length + 4
             if not self.wanted(head):
                 continue
-            http, start = read_head(raw, body, body + length) if head.get("content-type", "").startswith("application/http") else ({}, body)
+            http, start = data.head(body) if head.get("content-type", "").startswith("application/http") else ({}, body)
             n = int(http.get("content-length", body + length - start))
             payload = None
             if self.payload and head["warc-type"] != "revisit":
-                raw.seek(start)
-                payload = raw.read(body + length - start)
+                payload = data.slice(start, body + length)
                 if len(payload) != n:
                     raise ValueError(f"record {head.get('warc-record-id')}: {len(payload)} bytes of payload, not {n}")
             yield (*(header(head, field) for field in HEADERS.values()), n, payload)
 
 
+class Bytes:
+    """A record's bytes, read and inflated only as far as they are asked for."""
+
+    def __init__(self, raw, at: int, end: int):
+        raw.seek(at)
+        lead = raw.read(min(24, end - at))
+        self.raw, self.at, self.stop, self.data = raw, at, end, bytearray()
+        self.packed = lead[:4] == b"\x1f\x8b\x08\x04" and lead[12:14] == b"sl"
+        if lead[:2] == b"\x1f\x8b":
+            total = struct.unpack("<I", lead[16:20])[0] if self.packed else 0
+            if not total:
+                raise ValueError(f"the gzip member at byte {at} doesn't say its length")
+            self.at, self.stop = at + 24, at + total
+        self.inflate = zlib.decompressobj(-15) if self.packed else None
+
+    def grow(self, n: int) -> bool:
+        self.raw.seek(self.at)
+        block = self.raw.read(min(n, self.stop - self.at))
+        self.at += len(block)
+        self.data += self.inflate.decompress(block) if self.inflate else block
+        return bool(block)
+
+    def head(self, start: int) -> tuple[dict[str, str], int]:
+        """The fields (names in lower case) of the head at an offset, and where its body begins."""
+        while (stop := self.data.find(b"\r\n\r\n", start)) < 0:
+            if not self.grow(HEAD):
+                raise ValueError("a record's headers don't end")
+        lines = self.data[start:stop].decode("utf-8").split("\r\n")
+        fields = lines if start else lines[1:]
+        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in fields)}, stop + 4
+
+    def slice(self, start: int, stop: int) -> bytes:
+        while len(self.data) < stop and self.grow(MORE):
+            pass
+        return bytes(self.data[start:stop])
+
+
 def header(head: dict[str, str], field: str) -> str | None:
     """A header's value as the columns show it: digests without the algorithm's name."""
     value = head.get(field)
     return value.removeprefix("sha1:") if value is not None and field == "warc-payload-digest" else value
 
 
-def read_head(raw, at: int, end: int) -> tuple[dict[str, str], int]:
-    """The fields (names in lower case) of the head at an offset, and where its body begins."""
-    raw.seek(at)
-    data = b""
-    while (stop := data.find(b"\r\n\r\n")) < 0:
-        more = raw.read(min(HEAD, end - at - len(data)))
-        if not more:
-            raise ValueError(f"no end of headers after byte {at}")
-        data += more
-    lines = data[:stop].decode("utf-8").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, at + stop + 4
-
-
 def pack(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
     names = [*HEADERS, "payload_length", "payload"]

@@ -37,6 +37,23 @@ def test_pushdown_and_skipping(spark):
     assert [(r["target_uri"], r["refers_to"], r["payload_length"], r["payload"]) for r in rows] == [("u1", "<urn:page:2>", 1, None)]
 
 
+def test_plain_archives_are_read_too(spark, tmp_path):
+    rec = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:{}>\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    (tmp_path / "a.warc").write_text(rec.format("warcinfo", 0, 3, "abc") + rec.format("resource", 1, 4, "\r\n\r\n"), newline="")
+    got = warc.read_archives(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert [(r.record_type, r.payload_length, bytes(r.payload)) for r in got] == [("warcinfo", 3, b"abc"), ("resource", 4, b"\r\n\r\n")]
+
+
+def test_only_headers_are_inflated():
+    import io
+
+    data = ("WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 900000\r\n\r\n" + "".join(map(chr, np.random.default_rng(0).integers(32, 126, 900_000))) + "\r\n\r\n").encode()
+    one = warc.member(data)
+    raw = io.BytesIO(one + one)
+    b = warc.Bytes(raw, 0, len(one) * 2)
+    assert b.head(0)[0]["content-length"] == "900000" and b.stop == len(one) and len(b.data) < 10_000
+
+
 def brute(rows, k, every):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
     out = {}
