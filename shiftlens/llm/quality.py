@@ -3,8 +3,8 @@
 Every whole text gives a vector of document statistics. Random Fourier features of the
 standardised vector approximate a Gaussian kernel. Each partition sums its share of
 the normal equations, by fold; the sums are added up row by row of the matrix, and the
-driver gets one matrix of fixed size. Features lie on a fixed grid, so sums are exact
-and a fit does not depend on how rows are dealt. Each fold is scored by the fit of the
+driver gets one matrix of fixed size. Statistics, their projections and the features
+lie on fixed grids, so sums are exact and a fit does not depend on how rows are dealt. Each fold is scored by the fit of the
 other folds; pooled adjacent violators over those scores, binned on a grid, give the
 calibration curve from score to the chance of label 1.
 
@@ -38,7 +38,8 @@ HELD_OUT = 2
 ACCEPT = 0.7
 RIDGE = 3e-4
 BINS = 512
-GRID_X, GRID_Z = 1024.0, 4096.0
+#: Grids of the statistics, of the features, and of the draw; on them products and their sums are exact doubles.
+GRID_X, GRID_Z, GRID_W = 1024.0, 4096.0, 2.0**20
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -95,12 +96,17 @@ SIZE = len(statistics(""))
 def fourier(z: np.ndarray) -> np.ndarray:
     """Random Fourier features, and a constant, of standardised rows, on the grid."""
     draw = np.random.default_rng(SEED)
-    w = draw.normal(size=(z.shape[1], FEATURES)) / sqrt(z.shape[1]) * 0.8
+    w = np.round(draw.normal(size=(z.shape[1], FEATURES)) / sqrt(z.shape[1]) * 0.8 * GRID_W) / GRID_W
     b = draw.uniform(0, 2 * np.pi, FEATURES)
     x = np.sqrt(2.0) * np.cos(z @ w + b)
     return np.round(np.hstack([x, np.ones((len(z), 1))]) * GRID_Z) / GRID_Z
 
 
+def weigh(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's weighted sum, in an order that doesn't depend on how many rows there are."""
+    return np.concatenate([np.empty(0), *((z[k : k + 4096] * weights).sum(axis=1) for k in range(0, len(z), 4096))])
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -109,10 +115,10 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0]), np.array([0.5])))
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((np.round(x * GRID_X) / GRID_X - self.mean) / self.sd, -4, 4)
+        return np.round(np.clip((np.round(x * GRID_X) / GRID_X - self.mean) / self.sd, -4, 4) * GRID_X) / GRID_X
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return fourier(self.standard(x)) @ self.weights if self.weights is not None else np.zeros(len(x))
+        return weigh(fourier(self.standard(x)), self.weights) if self.weights is not None else np.zeros(len(x))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), *self.knots) if len(x) else np.empty(0)
@@ -183,7 +189,7 @@ def fit(feats: DataFrame, labels: DataFrame) -> Model:
             raw = np.zeros(len(z))
             for f, w in weights.items():
                 if w is not None:
-                    raw[fold == f] = z[fold == f] @ w
+                    raw[fold == f] = weigh(z[fold == f], w)
             at = np.clip(np.round(raw * BINS), -BINS, 2 * BINS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(y.astype(np.int64))], names=["bin", "y"])
 
