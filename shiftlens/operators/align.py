@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shiftlens.functions.text import trim
 from shiftlens.plans.refusal import Refused
-from shiftlens.sources.table import Table
+from shiftlens.sources.table import Table, first_extra
 
 SAMPLES, SUGGESTIONS = 10, 3
 
@@ -25,19 +25,39 @@ def keys_of(t: Table, key: int) -> DataFrame:
     return t.df.select("row_ord", trim(F.col(f"c{key}")).alias("k"))
 
 
-def check_keys(t: Table, key: int, side: str) -> int:
-    """The number of records; refused at the first record with an empty or repeated key."""
-    keys = keys_of(t, key)
-    n, most, empty = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.max(F.col("k") == "")).first()
-    if empty or (most or 0) > 1:
-        nth = Window.partitionBy("k").orderBy("row_ord")
-        second = keys.withColumn("nth", F.row_number().over(nth)).where("k = '' or nth = 2")
-        bad = second.agg(F.min(F.struct("row_ord", "k")).alias("b")).first()["b"]
-        record = t.record_number(bad["row_ord"])
-        if bad["k"] == "":
-            raise Refused("E_KEY_EMPTY", {"file": side, "record": record, "column": t.headers[key]})
-        raise Refused("E_KEY_DUP", {"file": side, "record": record, "key": t.bytes_of(bad["k"])})
-    return n
+def check_keys(old: Table, new: Table, ko: int, kn: int) -> tuple[int, int, bool]:
+    """The numbers of records and whether the keys are the same; refused at the first record with an empty or repeated key.
+
+    One pass over each file and one aggregation on the key serve both sides.
+    """
+
+    def side(t: Table, key: int, name: str) -> DataFrame:
+        mine = [F.lit(int(n == name)).alias(n) for n in ("old", "new")]
+        extra = [(F.when(F.col("extra"), F.col("row_ord")) if n == name else F.lit(None).cast("long")).alias(f"{n}_extra") for n in ("old", "new")]
+        return t.df.select(trim(F.col(f"c{key}")).alias("k"), *mine, *extra)
+
+    by_key = side(old, ko, "old").unionByName(side(new, kn, "new")).groupBy("k")
+    keys = by_key.agg(*(F.sum(n).alias(n) for n in ("old", "new")), *(F.min(n).alias(n) for n in ("old_extra", "new_extra")))
+    whole = [f(n) for n in ("old", "new") for f in (lambda n: F.coalesce(F.sum(n), F.lit(0)), F.max, lambda n: F.max((F.col("k") == "") & (F.col(n) > 0)), lambda n: F.min(f"{n}_extra"))]
+    found = keys.agg(*whole, F.count_if(F.col("old") != F.col("new"))).first()
+    sides = ((old, ko, found[0:4]), (new, kn, found[4:8]))
+    for t, _, (*_, extra) in sides:
+        t.refuse_extra(extra)
+    for name, (t, key, (_, most, empty, _)) in zip(("old", "new"), sides, strict=True):
+        if empty or (most or 0) > 1:
+            refuse_key(t, key, name)
+    return found[0], found[4], not found[8]
+
+
+def refuse_key(t: Table, key: int, side: str) -> None:
+    """Refuse the first record whose key is empty or stood before."""
+    nth = Window.partitionBy("k").orderBy("row_ord")
+    second = keys_of(t, key).withColumn("nth", F.row_number().over(nth)).where("k = '' or nth = 2")
+    bad = second.agg(F.min(F.struct("row_ord", "k")).alias("b")).first()["b"]
+    record = t.record_number(bad["row_ord"])
+    if bad["k"] == "":
+        raise Refused("E_KEY_EMPTY", {"file": side, "record": record, "column": t.headers[key]})
+    raise Refused("E_KEY_DUP", {"file": side, "record": record, "key": t.bytes_of(bad["k"])})
 
 
 def key_differences(old: Table, new: Table, ko: int, kn: int) -> dict:
@@ -65,19 +85,19 @@ def by_key(old: Table, new: Table, ko: int, kn: int, wanted: list[tuple[int, int
 def numbered(t: Table) -> tuple[DataFrame, int]:
     """The records with their number (from 1) in ``rec``, and how many there are.
 
-    ``row_ord`` grows along the file but has gaps; blocks of it are counted, and a
-    window inside each block does the rest, so no single task numbers all records.
+    ``row_ord`` holds a record's partition and its place there, so the partitions' counts
+    give every number without a shuffle. The same pass refuses records that are too wide.
     """
-    counts = t.df.groupBy(F.shiftright("row_ord", 33).alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()  # a row a partition of the scan
+    counts = t.df.groupBy(F.shiftright("row_ord", 33).alias("block")).agg(F.count(F.lit(1)).alias("n"), first_extra().alias("extra")).orderBy("block").collect()  # a row a partition of the scan
+    t.refuse_extra(min((r["extra"] for r in counts if r["extra"] is not None), default=None))
     starts, total = [], 0
     for r in counts:
         starts.append((r["block"], total))
         total += r["n"]
-    spark = t.df.sparkSession
-    start = spark.createDataFrame(starts, "block long, start long")
-    inside = Window.partitionBy("block").orderBy("row_ord")
-    df = t.df.withColumn("block", F.shiftright("row_ord", 33)).withColumn("nth", F.row_number().over(inside))
-    return df.join(F.broadcast(start), "block").withColumn("rec", F.col("start") + F.col("nth")).drop("block", "start", "nth"), total
+    start = t.df.sparkSession.createDataFrame(starts, "block long, start long")
+    place = F.col("row_ord").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    df = t.df.withColumn("block", F.shiftright("row_ord", 33)).join(F.broadcast(start), "block")
+    return df.withColumn("rec", F.col("start") + place).drop("block", "start"), total
 
 
 def by_order(old: Table, new: Table, wanted: list[tuple[int, int]], common: list[tuple[bytes, int, int]]) -> tuple[Aligned, int]:
@@ -120,13 +140,23 @@ def discover_keys(old: Table, new: Table, common: list[tuple[bytes, int, int]])
     return sorted(found, key=lambda x: not x.perfect)
 
 
-def reordered(old: Table, new: Table, common: list[tuple[bytes, int, int]]) -> list[bytes] | None:
-    """Suggested keys if a column with equal value sets stands in another order, else None."""
-    found = discover_keys(old, new, common)
-    perfect = [c for c in found if c.perfect]
-    if not perfect:
+def reordered(old: Table, new: Table, common: list[tuple[bytes, int, int]], aligned: Aligned | None = None) -> list[bytes] | None:
+    """Suggested keys if a column with equal value sets stands in another order, else None.
+
+    ``aligned`` is by record number with the common columns in their order, if there is
+    such a frame. A pass over it, without a shuffle, leaves the columns that differ
+    somewhere and whose values' hashes agree in total; only with such columns are
+    values counted.
+    """
+    if aligned is None:
+        (a, _), (b, _) = numbered(old), numbered(new)
+        aligned = Aligned(pairs(old, new, [c[1:] for c in common], F.col("rec"), F.col("rec"), a, b), False)
+    sides = [(trim(F.col(f"o{k}")), trim(F.col(f"n{k}"))) for k in range(len(common))]
+    checks = [F.max(x != y) & (F.bit_xor(F.xxhash64(x).bitwiseXOR(F.xxhash64(y))) == 0) for x, y in sides]
+    if not checks:
         return None
-    (a, _), (b, _) = numbered(old), numbered(new)
-    both = pairs(old, new, [(c.old, c.new) for c in perfect], F.col("rec"), F.col("rec"), a, b)
-    moved = both.agg(*(F.max(trim(F.col(f"o{k}")) != trim(F.col(f"n{k}"))).alias(f"m{k}") for k in range(len(perfect)))).first()
-    return [c.name for c in found][:SUGGESTIONS] if any(moved) else None
+    moved = {c[0] for c, m in zip(common, aligned.df.agg(*(c.alias(f"m{k}") for k, c in enumerate(checks))).first(), strict=True) if m}
+    if not moved:
+        return None
+    found = discover_keys(old, new, common)
+    return [c.name for c in found][:SUGGESTIONS] if any(c.perfect and c.name in moved for c in found) else None

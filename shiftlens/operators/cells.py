@@ -32,14 +32,20 @@ class Typed:
     changed: int
 
 
-def long_cells(a: Aligned, columns: Columns, only: list[int] | None = None) -> DataFrame:
-    """A row per cell: ord, col, texts, numbers and whether each side is missing."""
+def long_cells(a: Aligned, columns: Columns, only: list[int] | None = None, differing: bool = False) -> DataFrame:
+    """A row per cell (or per cell whose texts differ): ord, col, texts, numbers and whether each side is missing.
+
+    Where the texts are the same the second is not parsed again.
+    """
     wanted = range(len(columns.names)) if only is None else only
     # texts are spread first, so that the grammar is one expression however many columns there are
     parts = F.array(*(F.struct(F.lit(k).alias("col"), F.col(f"o{k}").alias("o"), F.col(f"n{k}").alias("n")) for k in wanted))
+    if differing:
+        parts = F.filter(parts, lambda c: c["o"] != c["n"])
     cells = a.df.select("ord", F.explode(parts).alias("c")).select("ord", "c.*")
-    o, n = F.col("o"), F.col("n")
-    return cells.select("*", parse_numeric(o).alias("x"), parse_numeric(n).alias("y"), is_missing(o).alias("mo"), is_missing(n).alias("mn"))
+    o, n, same = F.col("o"), F.col("n"), F.col("o") == F.col("n")
+    cells = cells.select("*", parse_numeric(o).alias("x")).select("*", (F.col("x").isNull() & is_missing(o)).alias("mo"))
+    return cells.select("*", F.when(same, F.col("x")).otherwise(parse_numeric(n)).alias("y"), F.when(same, F.col("mo")).otherwise(is_missing(n)).alias("mn"))
 
 
 def first(condition: Column, *what: Column) -> Column:
@@ -52,7 +58,8 @@ def type_columns(a: Aligned, old: Table, new: Table, columns: Columns, tolerance
     A cell is numeric if both sides are numbers; text if a side is text; a conflict if
     a number meets a missing value. The first conflict in record and column order is
     refused: a number against missing where it stands, a mix of numbers and text where
-    both have been seen.
+    both have been seen. Counts alone tell whether there is one; only then a second pass
+    finds where.
     """
     if not columns.names:
         return Typed(a.df.count(), [], 0.0, 0.0, 0)
@@ -63,26 +70,31 @@ def type_columns(a: Aligned, old: Table, new: Table, columns: Columns, tolerance
     size = contribution(F.col("y") - F.col("x"), tolerance)
     stats = cells.groupBy("col").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.min(F.when(x & y, F.col("ord"))).alias("n"),
-        first(text_old | text_new, F.col("ord"), F.when(by_old, F.lit("old")).otherwise(F.lit("new")).alias("side"), F.when(by_old, F.col("o")).otherwise(F.col("n")).alias("v")).alias("t"),
-        first(mo & y | mn & x, F.col("ord"), F.when(mn, F.lit("old")).otherwise(F.lit("new")).alias("side"), F.when(mn, F.col("o")).otherwise(F.col("n")).alias("v")).alias("m"),
+        F.count_if(x & y).alias("n"),
+        F.count_if(text_old | text_new).alias("t"),
+        F.count_if(mo & y | mn & x).alias("m"),
         F.sum(size).alias("total"),
         F.max(F.abs(F.col("y") - F.col("x"))).alias("largest"),
         F.count_if(size > 0).alias("changed"),
     )
     found = {r["col"]: r for r in stats.collect()}  # a row a column
-    conflicts = []
-    for k, r in found.items():
-        if r["m"]:
-            conflicts.append((r["m"]["ord"], k, "E_MISSINGNESS", r["m"]))
-        if r["n"] is not None and r["t"]:
-            conflicts.append((max(r["n"], r["t"]["ord"]), k, "E_MIXED_TYPES", r["t"]))
-    if conflicts:
+    if any(r["m"] or r["n"] and r["t"] for r in found.values()):
+        where = cells.groupBy("col").agg(
+            F.min(F.when(x & y, F.col("ord"))).alias("n"),
+            first(text_old | text_new, F.col("ord"), F.when(by_old, F.lit("old")).otherwise(F.lit("new")).alias("side"), F.when(by_old, F.col("o")).otherwise(F.col("n")).alias("v")).alias("t"),
+            first(mo & y | mn & x, F.col("ord"), F.when(mn, F.lit("old")).otherwise(F.lit("new")).alias("side"), F.when(mn, F.col("o")).otherwise(F.col("n")).alias("v")).alias("m"),
+        )
+        conflicts = []
+        for r in where.collect():
+            if r["m"]:
+                conflicts.append((r["m"]["ord"], r["col"], "E_MISSINGNESS", r["m"]))
+            if r["n"] is not None and r["t"]:
+                conflicts.append((max(r["n"], r["t"]["ord"]), r["col"], "E_MIXED_TYPES", r["t"]))
         _, k, code, cell = min(conflicts, key=lambda c: c[:2])
         t = old if cell["side"] == "old" else new
         at = {"key": t.bytes_of(cell["ord"])} if a.keyed else {"record": cell["ord"]}
         raise Refused(code, {"file": cell["side"], "column": columns.names[k], "value": t.bytes_of(cell["v"]), **at})
-    numeric = sorted(k for k, r in found.items() if r["n"] is not None)
+    numeric = sorted(k for k, r in found.items() if r["n"])
     use = [found[k] for k in numeric]
     rows = next(iter(found.values()))["rows"] if found else 0
     return Typed(rows, numeric, sum((r["total"] or 0.0 for r in use), 0.0), max((r["largest"] or 0.0 for r in use), default=0.0), sum(r["changed"] for r in use))
@@ -90,7 +102,7 @@ def type_columns(a: Aligned, old: Table, new: Table, columns: Columns, tolerance
 
 def changes(a: Aligned, columns: Columns, numeric: list[int], tolerance: float) -> DataFrame:
     """The numeric cells that changed: ord, col, x, y, delta, contribution."""
-    cells = long_cells(a, columns, numeric).select("ord", "col", "x", "y", (F.col("y") - F.col("x")).alias("delta"))
+    cells = long_cells(a, columns, numeric, differing=True).select("ord", "col", "x", "y", (F.col("y") - F.col("x")).alias("delta"))
     return cells.withColumn("contribution", contribution(F.col("delta"), tolerance)).where("contribution > 0")
 
 

@@ -95,7 +95,11 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
 
     old = load(spark, old_source, "old", forced, profile)
     v.dialects["old"] = old.dialect
-    new = load(spark, new_source, "new", forced, profile)
+    try:
+        new = load(spark, new_source, "new", forced, profile)
+    except Refused:
+        old.check_width()  # what is wrong with the old file comes first
+        raise
     v.dialects["new"] = new.dialect
 
     every = [(n, i, new.headers.index(n)) for i, n in enumerate(old.headers) if n in new.headers]
@@ -115,8 +119,12 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
     if key is not None:
         ko, kn = old.column_of(key), new.column_of(key)
         if ko is None or kn is None:
+            old.check_width()
+            new.check_width()
             raise Refused("E_NO_KEY", {"key_column": key})
-        n_old, n_new = align.check_keys(old, ko, "old"), align.check_keys(new, kn, "new")
+        n_old, n_new, same = align.check_keys(old, new, ko, kn)
+        if not same:
+            raise Refused("E_KEY_MISMATCH", align.key_differences(old, new, ko, kn))
         aligned = align.by_key(old, new, ko, kn, wanted)
     else:
         try:
@@ -129,10 +137,6 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
     # both passes below read the joined cells; kept where there is room, else computed again
     aligned.df = aligned.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if key is not None:
-            matched = aligned.df.count()
-            if not matched == n_old == n_new:
-                raise Refused("E_KEY_MISMATCH", align.key_differences(old, new, ko, kn))
         decide(old, new, aligned, columns, every, counts | {"rows_old": n_old, "rows_new": n_new, "rows_aligned": n_old}, v)
     finally:
         aligned.df.unpersist()
@@ -151,7 +155,7 @@ def decide(old: Table, new: Table, aligned: align.Aligned, columns: cells.Column
     metrics = {"total_change": typed.total, "max_abs_delta": typed.largest, "top_k_coverage": found.covered}
 
     if not aligned.keyed and typed.total > 0:
-        keys = align.reordered(old, new, every)
+        keys = align.reordered(old, new, every, aligned if len(every) == len(columns.names) else None)
         if keys is not None:
             raise Refused("E_NEED_KEY", {"suggested_keys": keys}, {k: c for k, c in counts.items() if not k.startswith("numeric_cells")})
 

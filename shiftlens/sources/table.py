@@ -1,9 +1,10 @@
 """Snapshots as DataFrames: CSV files and typed DataFrames under one shape.
 
-A ``Table`` has a column ``row_ord`` that grows with the record order, and text columns
-``c0 .. cN`` named on the driver by ``headers``, so no header can clash with another or
-with a name of the engine. CSV cells hold bytes as Latin-1 text, which keeps every byte
-and the byte order.
+A ``Table`` has a column ``row_ord`` that grows with the record order (partition and
+place in it, without gaps), text columns ``c0 .. cN`` named on the driver by ``headers``,
+so no header can clash with another or with a name of the engine, and ``extra``, set for
+records with more fields than the header. CSV cells hold bytes as Latin-1 text, which
+keeps every byte and the byte order.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Table:
     name: str
     encoding: str = "latin-1"
     dialect: d.Dialect | None = None
+    side: str = ""
 
     def column_of(self, name: bytes) -> int | None:
         return self.headers.index(name) if name in self.headers else None
@@ -41,6 +43,19 @@ class Table:
         """The record's place, from 1."""
         return self.df.where(F.col("row_ord") <= row_ord).count()
 
+    def refuse_extra(self, row_ord: int | None) -> None:
+        """Refuse the first record with more fields than the header, if there is one."""
+        if row_ord is not None:
+            raise Refused("E_HEADERS", {"file": self.side, "issue": "extra_fields", "record": self.record_number(row_ord)})
+
+    def check_width(self) -> None:
+        """The same by a pass of its own, for when no other pass over the records is to come."""
+        self.refuse_extra(self.df.agg(first_extra()).first()[0])
+
+
+def first_extra() -> Column:
+    return F.min(F.when(F.col("extra"), F.col("row_ord")))
+
 
 def from_frame(df: DataFrame, name: str, order: str | None = None) -> Table:
     """A DataFrame as a snapshot. Nulls are missing; a typed number's text is within the number grammar.
@@ -51,7 +66,7 @@ def from_frame(df: DataFrame, name: str, order: str | None = None) -> Table:
     cols = [F.coalesce(F.col(f"`{f.name.replace('`', '``')}`").cast("string"), F.lit("")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
     if order:
         df = ordered(df, order)
-    return Table(df.select(F.monotonically_increasing_id().alias("row_ord"), *cols), [f.name.encode() for f in df.schema.fields], name, "utf-8")
+    return Table(df.select(F.monotonically_increasing_id().alias("row_ord"), *cols, F.lit(False).alias("extra")), [f.name.encode() for f in df.schema.fields], name, "utf-8")
 
 
 def ordered(df: DataFrame, order: str) -> DataFrame:
@@ -78,7 +93,7 @@ def read_head(spark: SparkSession, path: str, n: int, side: str) -> bytes:
 
 
 def has_quote(spark: SparkSession, path: str) -> bool:
-    return bool(spark.read.text(path).where(F.contains("value", F.lit('"'))).take(1))
+    return bool(spark.read.text(path).agg(F.bool_or(F.contains("value", F.lit('"')))).first()[0])
 
 
 def whole_file(spark: SparkSession, path: str, delimiters: str) -> dict[tuple[str, bool], bool]:
@@ -96,7 +111,11 @@ def whole_file(spark: SparkSession, path: str, delimiters: str) -> dict[tuple[st
 
 
 def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = None, aliases: dict[bytes, bytes] | None = None) -> Table:
-    """A CSV file as a snapshot; refused where it can't be read exactly."""
+    """A CSV file as a snapshot; refused where it can't be read exactly.
+
+    Records that are too wide are flagged only; the pass that first reads all of them
+    (keys, or record counts) refuses the first one.
+    """
     head = read_head(spark, path, d.HEAD, side)
     data = d.guard(head, side)
     bom = len(head) - len(data)
@@ -123,8 +142,9 @@ def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = Non
         if fits and not fits[chosen.delimiter, chosen.backslash]:
             raise Refused("E_CSV_PARSE", {"file": side, "line": None, "column": None})
 
-    header, skip = None, 0
-    for _, fields in d.records(d.skip_blank_lines(data).decode("latin-1"), chosen.delimiter, chosen.backslash):
+    header, skip, end = None, 0, 0
+    text = d.skip_blank_lines(data).decode("latin-1")
+    for end, fields in d.records(text, chosen.delimiter, chosen.backslash):
         skip += 1
         if len(fields) == 1 and d.blank(fields) or sep is not None and d.delimiter_is_sep(fields, sep, chosen.delimiter):
             continue
@@ -134,16 +154,15 @@ def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = Non
         raise Refused("E_HEADERS", {"file": side, "issue": "missing_header"})
     names = d.header_names(header, aliases or {}, side)
 
-    rows = exact_records(spark, path, chosen, skip, len(names)) if quoted else plain_records(spark, path, chosen.delimiter, len(names), header, bom, sep)
+    # physical lines up to the header's end, a bound on the rows that the reader gives for them
+    lead = len(re.findall("[\r\n]", data.decode("latin-1")[: len(data) - len(text) + end])) + 1
+    rows = exact_records(spark, path, chosen, skip, len(names)) if quoted else plain_records(spark, path, chosen.delimiter, len(names), header, bom, lead)
     # a flag, not the cells, is filtered on: the optimizer would carry conditions on every cell through the plan
-    rows = rows.where("not void").drop("void")
-    extra = rows.where("extra").agg(F.min("row_ord")).first()[0]
-    if extra is not None:
-        raise Refused("E_HEADERS", {"file": side, "issue": "extra_fields", "record": rows.where(F.col("row_ord") <= extra).count()})
-    return Table(rows.drop("extra"), names, path, "latin-1", chosen)
+    rows = rows.where("not void").drop("void", "row_ord")
+    return Table(rows.select(F.monotonically_increasing_id().alias("row_ord"), "*"), names, path, "latin-1", chosen, side)
 
 
-def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header: list[str], bom: int, sep: str | None) -> DataFrame:
+def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header: list[str], bom: int, lead: int) -> DataFrame:
     """Records of a file without quotes: the engine's splittable reader.
 
     It flags records whose width differs; those alone are split again from their text.
@@ -163,11 +182,10 @@ def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header
     out = df.select(first.alias("row_ord"), *cells, extra.alias("extra"), void.alias("void"))
     # the header, and what stands before it, is in the first rows of the first partition
     mark = "ï»¿" if bom else ""
-    lead = out.where(F.col("row_ord") < 1 << 20)
     is_header = F.lit(True)
     for i, f in enumerate(header):
         is_header &= F.col(f"c{i}").isin(f, mark + f) if i == 0 else F.col(f"c{i}") == f
-    at = lead.where(is_header).agg(F.min("row_ord")).first()[0]
+    at = min(r["row_ord"] for r in out.select("row_ord", is_header.alias("is_header")).take(lead) if r["is_header"])
     return out.where(F.col("row_ord") > at)
 
 

@@ -126,6 +126,32 @@ def test_profile_scope_key_aliases_and_field_audit(run, tmp_path):
     assert root and json.loads(open(f"{root}/manifest.json").read())["outcome"] == "REFUSAL"
 
 
+def test_old_file_is_refused_before_new_file_and_key(run, spark, tmp_path):
+    wide = {"file": "old", "issue": "extra_fields", "record": 2}
+    v = run("id,v\nA,1\n \nB,2,x\nB,2,y\n", "id,v\nA,1\nB,2,x\n", delimiter=",", key="id")
+    assert code(v) == "E_HEADERS" and v.refusal.detail == wide
+    v = compare(spark, str(tmp_path / "old.csv"), str(tmp_path / "none.csv"), delimiter=",", key="id")
+    assert code(v) == "E_HEADERS" and v.refusal.detail == wide
+    assert run("id,v\nA,1\n \nB,2,x\n", "id,v\nA,1\n", delimiter=",", key="zz").refusal.detail == wide
+
+
+def test_record_numbers_over_many_splits(run, spark):
+    lines = [f"{i},{i * 7 % 1000}" for i in range(1, 2001)]
+    old = "id,v\n" + "\n \n".join(lines) + "\n"
+    new = "\n".join(["id,v", *lines[:1500], "1501,-5", *lines[1501:]]) + "\n"
+    moved = "\n".join(["id,v", *lines[1:], lines[0]]) + "\n"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        v = run(old, new, explicit=True)
+        assert v.outcome == "REAL_CHANGE" and [(c.row, c.column, c.new) for c in v.contributors] == [(b"1501", b"v", -5.0)] and v.counts["rows_aligned"] == 2000
+        v = run(old, moved)
+        assert code(v) == "E_NEED_KEY" and v.refusal.detail["suggested_keys"] == [b"id"]
+        wide = old.replace("1999,993", "1999,993,x")
+        assert run(wide, new, delimiter=",").refusal.detail == {"file": "old", "issue": "extra_fields", "record": 1999}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_frames_nulls_and_types(spark):
     old = spark.createDataFrame([("a", 1.5, None, "x"), ("b", 2.0, None, "x")], "k string, v double, w int, t string")
     new = spark.createDataFrame([("b", 2.0, None, "y"), ("a", 4.0, None, "x")], "k string, v double, w int, t string")
