@@ -236,7 +236,11 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
 
     Rows that share that id go by the hash of their text, and of wholly repeated rows one stays.
     """
-    found = classify(docs, width, distance)
+    return keep_least(docs, classify(docs, width, distance))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component of ``found`` (doc_id, th, component) the row of ``docs`` that keep_one keeps."""
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("of"))
     chosen = chosen.select(F.coalesce("of.doc_id", F.lit(0)).alias("__id"), F.col("of.none").alias("__none"), F.col("of.th").alias("__th"))
     rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), docs["doc_id"].isNull().alias("__none"), F.xxhash64("text").alias("__th"))
