@@ -1,21 +1,24 @@
-"""Removal of repeated multi-line passages by content-defined line chunks.
-
-A rolling hash over the hashes of the last lines chooses where a chunk ends, so that a
-passage falls into the same chunks wherever it stands. A line of ``solo_words`` words
-or more is a passage, and a chunk, by itself. Chunks of under two other lines are never
-removed. All documents' chunks are grouped by hash and bytes (the byte comparison);
-of a chunk that occurs more than once the document with the smallest doc_id keeps its
-first occurrence, every other one is removed.
-
-The chunks' text is shuffled once, pre-aggregated, so a chunk that a third of all
-documents share is one row a task; then narrow (document, chunk) rows meet the repeated
-chunks, and each document's removals meet its text. Memory: one batch and one text.
+"""Removal of repeated multi-line passages by overlapping line chunks.
+
+Every two neighbouring lines are a chunk, and so is a line of ``solo_words`` words or
+more. So all chunks of a passage are the same wherever it stands, and together they
+cover it from its first line to its last: a run of two or more lines that occurred
+before goes whole, whatever stands around it. A shorter line by itself is never removed.
+All documents' chunks are grouped by hash, lines compared by bytes; of a chunk
+that occurs more than once the document with the smallest doc_id keeps its first occurrence, every other one is
+removed. The first occurrence of any line always stays, since each removed line is part
+of a chunk that occurred before it.
+
+A chunk is known by its lines' hashes. The lines' text is shuffled once, pre-aggregated,
+so a line that a third of all documents share is one row a task; narrow (document, chunk)
+rows are counted and meet the repeated chunks, and each document's removals meet its
+text. Memory: one batch and one text.
 
 Defined results: null text stays null and has no lines; empty text stays empty; lines
 end at ``\\n`` only; a row is known by its doc_id and text, so that rows repeating both
 share their fate, and all rows with the smallest doc_id count as its first document;
-null ids come last; an empty table gives an empty result; an input column named
-lines_removed is replaced.
+null ids come last; an empty table gives an empty result; an input
+column named lines_removed is replaced.
 """
 
 from __future__ import annotations
@@ -24,41 +27,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from .common import materialize
 
 LAST = 2**63 - 1
-MIX = 0x9E3779B97F4A7C15
-ALL = 2**64 - 1
+#: The hashes of a chunk's two lines.
+KEY = ["a1", "a2", "b1", "b2"]
 
 
-def chunks(text: str, mean_lines: int = 2, window: int = 2, solo_words: int = 40) -> list[tuple[int, int]]:
-    """(first line, line after the last) of the chunks that may be removed."""
+def chunks(text: str, solo_words: int = 40) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the chunks that may be removed; they overlap."""
     lines = text.split("\n")
-    out: list[tuple[int, int]] = []
-    start, roll, past = 0, 0, []
-
-    def close(end: int) -> None:
-        if end - start >= 2:
-            out.append((start, end))
-
-    for i, line in enumerate(lines):
-        if len(line) >= 2 * solo_words - 1 and len(line.split()) >= solo_words:
-            close(i)
-            out.append((i, i + 1))
-            start, roll, past = i + 1, 0, []
-            continue
-        h = xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-        past.append(h)
-        roll = (roll * MIX + h) & ALL
-        if len(past) > window:
-            roll = (roll - past.pop(0) * pow(MIX, window, 2**64)) & ALL
-        if len(past) == window and i + 1 - start >= 2 and (roll ^ roll >> 32) % mean_lines == 0:
-            close(i + 1)
-            start = i + 1
-    close(len(lines))
-    return out
+    out = [(i, i + 2) for i in range(len(lines) - 1)]
+    solo = [(i, i + 1) for i, line in enumerate(lines) if len(line) >= 2 * solo_words - 1 and len(line.split()) >= solo_words]
+    return sorted(out + solo) if solo else out
 
 
 def hash_pair(data: bytes) -> tuple[int, int]:
@@ -66,63 +49,77 @@ def hash_pair(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def chunk_rows(docs: DataFrame, with_text: bool, **shape) -> DataFrame:
-    """A row per chunk: its hash, and either its text and doc_id or the row and lines that it stands in."""
-    schema = "doc_id long, h1 long, h2 long, " + ("chunk string" if with_text else "th long, first int, after int")
+def line_rows(docs: DataFrame, solo_words: int) -> DataFrame:
+    """The hash and text of each line that is in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, h1, h2, rest = [], [], [], ([], [], [])
+            out: set[str] = set()
             size = 0
-            for doc_id, th, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for cell in batch.column(0):
                 text = cell.as_py()
-                lines = text.split("\n") if text else []
-                for a, b in chunks(text, **shape) if len(lines) > 1 or text else []:
-                    part = "\n".join(lines[a:b])
-                    x, y = hash_pair(part.encode("utf-8", "surrogatepass"))
-                    ids.append(doc_id)
-                    h1.append(x)
-                    h2.append(y)
-                    if with_text:
-                        rest[0].append(part)
-                        size += len(part)
-                    else:
-                        for v, c in zip((th, a, b), rest, strict=True):
-                            c.append(v)
+                if text and chunks(text, solo_words):
+                    out.update(text.split("\n"))
+                    size += len(text)
                 if size > 1 << 23:
-                    yield pack(ids, h1, h2, rest)
-                    ids, h1, h2, rest, size = [], [], [], ([], [], []), 0
-            yield pack(ids, h1, h2, rest)
+                    yield pack(out)
+                    out, size = set(), 0
+            yield pack(out)
+
+    def pack(lines: set[str]) -> pa.RecordBatch:
+        keys = [hash_pair(x.encode("utf-8", "surrogatepass")) for x in lines]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lines, pa.string())], names=["l1", "l2", "line"])
+
+    return docs.select("text").mapInArrow(run, "l1 long, l2 long, line string")
 
-    def pack(ids, h1, h2, rest) -> pa.RecordBatch:
-        cols = [pa.array(c, pa.int64()) for c in (ids, h1, h2)]
-        if with_text:
-            return pa.RecordBatch.from_arrays([*cols, pa.array(rest[0], pa.string())], names=["doc_id", "h1", "h2", "chunk"])
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names=["doc_id", "h1", "h2", "th", "first", "after"])
 
+def chunk_rows(docs: DataFrame, solo_words: int) -> DataFrame:
+    """A row per chunk: the row and lines that it stands in, and the hashes of its lines (zeros for none)."""
+    names = ["doc_id", "th", "first", "after", *KEY]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, th, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = cell.as_py()
+                found = chunks(text, solo_words) if text else []
+                if found:
+                    keys = [hash_pair(x.encode("utf-8", "surrogatepass")) for x in text.split("\n")]
+                    rows += [(doc_id, th, a, b, *keys[a], *(keys[a + 1] if b - a == 2 else (0, 0))) for a, b in found]
+                if len(rows) > 1 << 16:
+                    yield pack(rows)
+                    rows = []
+            yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    schema = "doc_id long, th long, first int, after int, " + ", ".join(f"{k} long" for k in KEY)
     return docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame, **shape) -> DataFrame:
-    """h1, h2 and keeper (the smallest doc_id) of each chunk that occurs more than once, bytes compared.
+def repeated_chunks(docs: DataFrame, solo_words: int) -> DataFrame:
+    """The line hashes and keeper (the smallest doc_id) of each chunk that occurs more than once.
 
-    A hash that stands for two different byte strings is left out, so nothing is removed by a collision.
+    Lines are compared by bytes: one whose hash stands for two different texts is in no
+    chunk here, so nothing is removed by a collision.
     """
-    rows = chunk_rows(docs, True, **shape).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    texts = rows.groupBy("h1", "h2", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
-    hashes = texts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("keeper").alias("keeper"))
-    return hashes.where("texts = 1 and n > 1").select("h1", "h2", "keeper")
+    clash = line_rows(docs, solo_words).groupBy("l1", "l2", "line").count().groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
+    clash = materialize(clash, "clashes")
+    again = chunk_rows(docs, solo_words).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper")).where("n > 1")
+    for x, y in (KEY[:2], KEY[2:]):
+        again = again.join(clash, (F.col(x) == F.col("l1")) & (F.col(y) == F.col("l2")), "left_anti")
+    return again.select(*KEY, "keeper")
 
 
-def dedup_lines(docs: DataFrame, mean_lines: int = 2, window: int = 2, solo_words: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, solo_words: int = 40) -> DataFrame:
     """The input's columns with the text less its repeated chunks, plus lines_removed, a row per input row."""
-    shape = {"mean_lines": mean_lines, "window": window, "solo_words": solo_words}
-    again = materialize(repeated_chunks(docs, **shape), "chunks")
-    found = chunk_rows(docs, False, **shape).join(again, ["h1", "h2"])
+    again = materialize(repeated_chunks(docs, solo_words), "chunks")
+    found = chunk_rows(docs, solo_words).join(again, KEY)
     keeps = F.coalesce("doc_id", F.lit(LAST)) == F.col("keeper")
     # the keeper keeps the first occurrence; its later ones go as well
-    mark = F.struct("first", "after", F.when(keeps, F.col("h1")).alias("kept1"), F.when(keeps, F.col("h2")).alias("kept2"))
+    mark = F.struct("first", "after", F.when(keeps, F.col("a1")).alias("kept1"), F.when(keeps, F.col("a2")).alias("kept2"))
     cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias("__cuts"))
     cuts = cuts.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("th").alias("__th"), "__cuts")
     base = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64("text").alias("__th"))
@@ -152,8 +149,8 @@ def cut(text: str | None, marks: list[dict] | None) -> tuple[str | None, int]:
     lines = text.split("\n")
     keep, seen = [True] * len(lines), set()
     for m in sorted(marks, key=lambda m: m["first"]):
-        mine = (m["kept1"], m["kept2"])
-        if mine != (None, None) and mine not in seen:
+        mine = tuple(lines[m["first"] : m["after"]])
+        if (m["kept1"], m["kept2"]) != (None, None) and mine not in seen:
             seen.add(mine)
             continue
         keep[m["first"] : m["after"]] = [False] * (m["after"] - m["first"])

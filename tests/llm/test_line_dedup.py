@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from shiftlens.llm import line_dedup
@@ -64,3 +65,35 @@ def test_clashing_columns_nulls_and_empty(spark):
 def test_a_hash_of_two_texts_removes_nothing():
     assert line_dedup.cut("a\nb\nc", [{"first": 0, "after": 2, "kept1": None, "kept2": None}]) == ("c", 2)
     assert line_dedup.cut("a\nb\na\nb", [{"first": 0, "after": 2, "kept1": 1, "kept2": 1}, {"first": 2, "after": 4, "kept1": 1, "kept2": 1}]) == ("a\nb", 2)
+
+
+def repeated_runs(rows):
+    """Brute force over runs: the lines of every run of two or more lines that some earlier place has as well."""
+    places = [(k, i) for k, (_, text) in enumerate(rows) for i in range(len(text.split("\n")))]
+    texts = [text.split("\n") for _, text in rows]
+    gone = set()
+    for n, (k, i) in enumerate(places):
+        for m, j in places[:n]:
+            size = 0
+            while i + size < len(texts[k]) and j + size < len(texts[m]) and texts[k][i + size] == texts[m][j + size]:
+                size += 1
+            if size >= 2:
+                gone |= {(k, i + x) for x in range(size)}
+    return [(doc_id, "\n".join(x for i, x in enumerate(texts[k]) if (k, i) not in gone)) for k, (doc_id, _) in enumerate(rows)]
+
+
+def test_equals_a_search_for_repeated_runs_whatever_stands_around(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, passages = [], []
+    for count, words in ((2, 26), (3, 18), (4, 14), (5, 11), (6, 10), (8, 7), (10, 6)):
+        for _ in range(6):
+            passage = [line(words) for _ in range(count)]
+            passages.append("\n".join(passage))
+            for _ in range(2):
+                rows.append((len(rows), "\n".join([*(line(7) for _ in range(rng.randrange(5))), *passage, *(line(7) for _ in range(rng.randrange(5)))])))
+    few = [line(3) for _ in range(4)]
+    rows += [(len(rows) + k, "\n".join(rng.choice(few) for _ in range(rng.randint(1, 9)))) for k in range(12)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(repeated_runs(rows))
+    assert all(sum(p in t for t in got.values()) == 1 and not any(x in got[2 * k + 1] for x in p.split("\n")) for k, p in enumerate(passages))
