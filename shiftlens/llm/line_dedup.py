@@ -5,7 +5,8 @@ more. So all chunks of a passage are the same wherever it stands, and together t
 cover it from its first line to its last: a run of two or more lines that occurred
 before goes whole, whatever stands around it. A shorter line by itself is never removed.
 All documents' chunks are grouped by hash, lines compared by bytes; of a chunk
-that occurs more than once the document with the smallest doc_id keeps its first occurrence, every other one is
+that occurs more than once the document with the smallest doc_id (of several texts under
+it, the one with the smallest hash) keeps its first occurrence, every other one is
 removed. The first occurrence of any line always stays, since each removed line is part
 of a chunk that occurred before it.
 
@@ -16,8 +17,7 @@ text. Memory: one batch and one text.
 
 Defined results: null text stays null and has no lines; empty text stays empty; lines
 end at ``\\n`` only; a row is known by its doc_id and text, so that rows repeating both
-share their fate, and all rows with the smallest doc_id count as its first document;
-null ids come last; an empty table gives an empty result; an input
+share their fate; null ids come last; an empty table gives an empty result; an input
 column named lines_removed is replaced.
 """
 
@@ -100,14 +100,15 @@ def chunk_rows(docs: DataFrame, solo_words: int) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, solo_words: int) -> DataFrame:
-    """The line hashes and keeper (the smallest doc_id) of each chunk that occurs more than once.
+    """The line hashes and keeper (doc_id and text hash, the smallest) of each chunk that occurs more than once.
 
     Lines are compared by bytes: one whose hash stands for two different texts is in no
     chunk here, so nothing is removed by a collision.
     """
     clash = line_rows(docs, solo_words).groupBy("l1", "l2", "line").count().groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
     clash = materialize(clash, "clashes")
-    again = chunk_rows(docs, solo_words).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper")).where("n > 1")
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "th")
+    again = chunk_rows(docs, solo_words).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("keeper")).where("n > 1")
     for x, y in (KEY[:2], KEY[2:]):
         again = again.join(clash, (F.col(x) == F.col("l1")) & (F.col(y) == F.col("l2")), "left_anti")
     return again.select(*KEY, "keeper")
@@ -117,7 +118,7 @@ def dedup_lines(docs: DataFrame, solo_words: int = 40) -> DataFrame:
     """The input's columns with the text less its repeated chunks, plus lines_removed, a row per input row."""
     again = materialize(repeated_chunks(docs, solo_words), "chunks")
     found = chunk_rows(docs, solo_words).join(again, KEY)
-    keeps = F.coalesce("doc_id", F.lit(LAST)) == F.col("keeper")
+    keeps = (F.coalesce("doc_id", F.lit(LAST)) == F.col("keeper.id")) & (F.col("th") == F.col("keeper.th"))
     # the keeper keeps the first occurrence; its later ones go as well
     mark = F.struct("first", "after", F.when(keeps, F.col("a1")).alias("kept1"), F.when(keeps, F.col("a2")).alias("kept2"))
     cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias("__cuts"))

@@ -97,3 +97,12 @@ def test_equals_a_search_for_repeated_runs_whatever_stands_around(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(repeated_runs(rows))
     assert all(sum(p in t for t in got.values()) == 1 and not any(x in got[2 * k + 1] for x in p.split("\n")) for k, p in enumerate(passages))
+
+
+def test_one_text_keeps_a_passage_among_null_and_repeated_ids(spark):
+    passage = "\n".join(lines("shared", 6))
+    for doc_id in (None, 4):
+        docs = spark.createDataFrame([(doc_id, f"own {k}\n{passage}\nlast {k}") for k in range(5)], "doc_id long, text string")
+        got = [r.text for r in line_dedup.dedup_lines(docs).collect()]
+        assert sum(passage in t for t in got) == 1
+        assert sorted(len(t.split("\n")) for t in got) == [2, 2, 2, 2, 8]
