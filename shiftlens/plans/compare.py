@@ -55,6 +55,11 @@ class Verdict:
 Source = str | DataFrame
 
 
+def split_headers(old: list[bytes], new: list[bytes]) -> tuple[list[tuple[bytes, int, int]], list[bytes], list[bytes]]:
+    """Headers on both sides with their places, and those on the old and the new side only."""
+    return [(n, i, new.index(n)) for i, n in enumerate(old) if n in new], [n for n in old if n not in new], [n for n in new if n not in old]
+
+
 def compare(spark: SparkSession, old: Source, new: Source, options: CompareOptions | None = None, **kw: Any) -> Verdict:
     """Compare two snapshots, each a CSV path or a DataFrame.
 
@@ -102,7 +107,7 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
         raise
     v.dialects["new"] = new.dialect
 
-    every = [(n, i, new.headers.index(n)) for i, n in enumerate(old.headers) if n in new.headers]
+    every, old_only, new_only = split_headers(old.headers, new.headers)
     scoped = set(profile.include) if profile and profile.include is not None else None
     inside = lambda n: n != key and (scoped is None or n in scoped)
     common = [c for c in every if inside(c[0])]
@@ -112,8 +117,8 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
         "columns_old": sum(map(inside, old.headers)),
         "columns_new": sum(map(inside, new.headers)),
         "columns_common": len(common),
-        "columns_old_only": sum(inside(n) and n not in new.headers for n in old.headers),
-        "columns_new_only": sum(inside(n) and n not in old.headers for n in new.headers),
+        "columns_old_only": sum(map(inside, old_only)),
+        "columns_new_only": sum(map(inside, new_only)),
     }
 
     if key is not None:

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shiftlens.functions import text
 from shiftlens.operators import align, cells, repro
-from shiftlens.plans.compare import compare
+from shiftlens.plans.compare import compare, split_headers
 from shiftlens.plans.options import TOP
 from shiftlens.plans.render import summary_frame
 from shiftlens.sources import ledger
-from shiftlens.sources.table import Table, from_frame
+from shiftlens.sources.table import Table, fit_width, from_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,9 +322,8 @@ def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def width_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short records are padded, blank extra fields ignored, other extra fields refused."""
     df = spark.createDataFrame([(x,) for x in ("1,2", "1", "1,2,", "1,2, ", "1,2,3")], "line string")
-    parts = F.split("line", ",", -1)
-    extra = F.exists(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: ~text.is_blank(x))
-    return df.where(~extra).select("line", F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("a"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("b"))
+    (a, b), extra = fit_width(F.split("line", ",", -1), 2)
+    return df.where(~extra).select("line", a.alias("a"), b.alias("b"))
 
 
 @registered("select n_name as name, 'u8:' || n_name as plain, 'hex:' || lower(hex(encode(n_name || chr(9)))) as control from nation")
@@ -339,8 +338,10 @@ def ident_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def header_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers on both sides, and on one only, without the key."""
-    old, new, key = ["a", "b", "c", "d"], ["c", "a", "e", "b"], "a"
-    rows = [("shared", h) for h in old if h in new and h != key] + [("old_only", h) for h in old if h not in new] + [("new_only", h) for h in new if h not in old]
+    old, new = (from_frame(spark.createDataFrame([], ", ".join(f"{h} string" for h in names)), side) for names, side in (("abcd", "old"), ("caeb", "new")))
+    shared, old_only, new_only = split_headers(old.headers, new.headers)
+    found = [("shared", [c[0] for c in shared]), ("old_only", old_only), ("new_only", new_only)]
+    rows = [(role, h.decode()) for role, names in found for h in names if h != b"a"]
     return spark.createDataFrame(rows, "role string, header string")
 
 

@@ -162,6 +162,12 @@ def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = Non
     return Table(rows.select(F.monotonically_increasing_id().alias("row_ord"), "*"), names, path, "latin-1", chosen, side)
 
 
+def fit_width(parts: Column, n: int) -> tuple[list[Column], Column]:
+    """A record's n cells, short ones padded, and whether it has further fields that aren't blank."""
+    cells = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(n)]
+    return cells, F.exists(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), lambda x: ~is_blank(x))
+
+
 def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header: list[str], bom: int, lead: int) -> DataFrame:
     """Records of a file without quotes: the engine's splittable reader.
 
@@ -173,10 +179,11 @@ def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header
     df = reader.option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False).option("maxColumns", max(20_480, n + 1)).option("maxCharsPerColumn", -1).csv(path)
     parts = F.split("_raw", re.escape(delimiter), -1)
     odd = F.col("_raw").isNotNull()
-    cells = [F.when(odd, F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c) for i, c in enumerate(names)]
+    fitted, wide = fit_width(parts, n)
+    cells = [F.when(odd, x).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c) for c, x in zip(names, fitted, strict=True)]
     # the reader wants a column besides the raw text, whatever is asked of the result
     odd = odd & (F.length(F.coalesce(F.col("c0"), F.lit(""))) >= 0)
-    extra = F.coalesce(odd & F.exists(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), lambda x: ~is_blank(x)), F.lit(False))
+    extra = F.coalesce(odd & wide, F.lit(False))
     first = F.monotonically_increasing_id()
     void = is_blank(F.concat(*cells)) & ~extra
     out = df.select(first.alias("row_ord"), *cells, extra.alias("extra"), void.alias("void"))
