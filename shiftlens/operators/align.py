@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.functions.text import trim
 from shiftlens.plans.refusal import Refused
-from shiftlens.sources.table import Table, first_extra
+from shiftlens.sources.table import Table
 
 SAMPLES, SUGGESTIONS = 10, 3
 
@@ -33,31 +33,41 @@ def check_keys(old: Table, new: Table, ko: int, kn: int) -> tuple[int, int, bool
 
     def side(t: Table, key: int, name: str) -> DataFrame:
         mine = [F.lit(int(n == name)).alias(n) for n in ("old", "new")]
-        extra = [(F.when(F.col("extra"), F.col("row_ord")) if n == name else F.lit(None).cast("long")).alias(f"{n}_extra") for n in ("old", "new")]
+        extra = [(F.col("extra") if n == name else F.lit(False)).alias(f"{n}_extra") for n in ("old", "new")]
         return t.df.select(trim(F.col(f"c{key}")).alias("k"), *mine, *extra)
 
     by_key = side(old, ko, "old").unionByName(side(new, kn, "new")).groupBy("k")
-    keys = by_key.agg(*(F.sum(n).alias(n) for n in ("old", "new")), *(F.min(n).alias(n) for n in ("old_extra", "new_extra")))
-    whole = [f(n) for n in ("old", "new") for f in (lambda n: F.coalesce(F.sum(n), F.lit(0)), F.max, lambda n: F.max((F.col("k") == "") & (F.col(n) > 0)), lambda n: F.min(f"{n}_extra"))]
+    keys = by_key.agg(*(F.sum(n).alias(n) for n in ("old", "new")), *(F.max(n).alias(n) for n in ("old_extra", "new_extra")))
+    whole = [f(n) for n in ("old", "new") for f in (lambda n: F.coalesce(F.sum(n), F.lit(0)), F.max, lambda n: F.max((F.col("k") == "") & (F.col(n) > 0)), lambda n: F.max(f"{n}_extra"))]
     found = keys.agg(*whole, F.count_if(F.col("old") != F.col("new"))).first()
     sides = ((old, ko, found[0:4]), (new, kn, found[4:8]))
     for t, _, (*_, extra) in sides:
-        t.refuse_extra(extra)
+        t.refuse_extra(bool(extra))
     for name, (t, key, (_, most, empty, _)) in zip(("old", "new"), sides, strict=True):
         if empty or (most or 0) > 1:
             refuse_key(t, key, name)
     return found[0], found[4], not found[8]
 
 
+def first_bad_key(t: Table, key: int) -> DataFrame:
+    """record (its number) and key of the first record whose key is empty or stood before; no row if there is none."""
+    records, _ = numbered(t)
+    keys = records.select("rec", trim(F.col(f"c{key}")).alias("key"))
+    # two aggregations, each partial before its shuffle, so that a hot key is a row a task
+    first = keys.groupBy("key").agg(F.min("rec").alias("first"))
+    again = keys.join(first.where("key != ''"), "key").where("rec > first").groupBy("key").agg(F.min("rec").alias("rec"))
+    empty = first.where("key = ''").select("key", F.col("first").alias("rec"))
+    return again.unionByName(empty).orderBy("rec").limit(1).select(F.col("rec").alias("record"), "key")
+
+
 def refuse_key(t: Table, key: int, side: str) -> None:
     """Refuse the first record whose key is empty or stood before."""
-    nth = Window.partitionBy("k").orderBy("row_ord")
-    second = keys_of(t, key).withColumn("nth", F.row_number().over(nth)).where("k = '' or nth = 2")
-    bad = second.agg(F.min(F.struct("row_ord", "k")).alias("b")).first()["b"]
-    record = t.record_number(bad["row_ord"])
-    if bad["k"] == "":
-        raise Refused("E_KEY_EMPTY", {"file": side, "record": record, "column": t.headers[key]})
-    raise Refused("E_KEY_DUP", {"file": side, "record": record, "key": t.bytes_of(bad["k"])})
+    bad = first_bad_key(t, key).first()
+    if bad is None:
+        raise RuntimeError(f"{t.name}: two evaluations gave different records")
+    if bad["key"] == "":
+        raise Refused("E_KEY_EMPTY", {"file": side, "record": bad["record"], "column": t.headers[key]})
+    raise Refused("E_KEY_DUP", {"file": side, "record": bad["record"], "key": t.bytes_of(bad["key"])})
 
 
 def key_differences(old: Table, new: Table, ko: int, kn: int) -> dict:
@@ -85,18 +95,20 @@ def by_key(old: Table, new: Table, ko: int, kn: int, wanted: list[tuple[int, int
 def numbered(t: Table) -> tuple[DataFrame, int]:
     """The records with their number (from 1) in ``rec``, and how many there are.
 
-    ``row_ord`` holds a record's partition and its place there, so the partitions' counts
-    give every number without a shuffle. The same pass refuses records that are too wide.
+    The table is pinned, so that a record's ``row_ord`` (its partition and its place
+    there) is a value; the partitions' counts then give every number without a shuffle.
+    The same pass refuses records that are too wide.
     """
-    counts = t.df.groupBy(F.shiftright("row_ord", 33).alias("block")).agg(F.count(F.lit(1)).alias("n"), first_extra().alias("extra")).orderBy("block").collect()  # a row a partition of the scan
-    t.refuse_extra(min((r["extra"] for r in counts if r["extra"] is not None), default=None))
+    records = t.pin()
+    counts = records.groupBy(F.shiftright("row_ord", 33).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max("extra").alias("extra")).orderBy("block").collect()  # a row a partition of the scan
+    t.refuse_extra(any(r["extra"] for r in counts))
     starts, total = [], 0
     for r in counts:
         starts.append((r["block"], total))
         total += r["n"]
-    start = t.df.sparkSession.createDataFrame(starts, "block long, start long")
+    start = records.sparkSession.createDataFrame(starts, "block long, start long")
     place = F.col("row_ord").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    df = t.df.withColumn("block", F.shiftright("row_ord", 33)).join(F.broadcast(start), "block")
+    df = records.withColumn("block", F.shiftright("row_ord", 33)).join(F.broadcast(start), "block")
     return df.withColumn("rec", F.col("start") + place).drop("block", "start"), total
 
 

@@ -12,6 +12,7 @@ from shiftlens.functions.formats import parse_identifier
 from shiftlens.operators import align, cells
 from shiftlens.sources.dialect import Dialect, delimiter_option
 from shiftlens.sources.profile import Profile, resolve
+from shiftlens.sources.shared import scratch
 from shiftlens.sources.table import Table, from_csv, from_frame
 
 from .options import TOP, CompareOptions
@@ -70,7 +71,8 @@ def compare(spark: SparkSession, old: Source, new: Source, options: CompareOptio
     name = lambda s, side: s if isinstance(s, str) else side
     v = Verdict("REFUSAL", options, {"old": name(old, "old"), "new": name(new, "new")})
     try:
-        run(spark, old, new, v)
+        with scratch(spark):
+            run(spark, old, new, v)
     except Refused as r:
         v.outcome, v.refusal = "REFUSAL", r
         v.contributors, v.field_changes = [], None
@@ -150,6 +152,8 @@ def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict)
 def decide(old: Table, new: Table, aligned: align.Aligned, columns: cells.Columns, every: list, counts: dict, v: Verdict) -> None:
     o = v.options
     typed = cells.type_columns(aligned, old, new, columns, o.tolerance)
+    if typed.rows != counts["rows_aligned"]:
+        raise RuntimeError(f"{typed.rows} records aligned of {counts['rows_aligned']}: two evaluations of an input gave different records")
     counts |= {"numeric_columns": len(typed.numeric), "numeric_cells_checked": counts["rows_aligned"] * len(typed.numeric), "numeric_cells_changed": typed.changed}
     if not typed.numeric and not o.audit_fields:
         raise Refused("E_NO_NUMERIC", {}, counts)

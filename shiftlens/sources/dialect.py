@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from shiftlens.plans.refusal import Refused
@@ -77,24 +77,52 @@ def sep_line(data: bytes) -> str | None:
     return None
 
 
+def inside(backslash: bool, strict: bool) -> str:
+    """What may stand between quotes; in the strict reading a backslash escapes nothing but a quote."""
+    if not backslash:
+        return r'(?:[^"]|"")*+'
+    return r'(?:[^"\\]|\\"|\\(?!")|"")*+' if strict else r'(?:[^"\\]|\\.|"")*+'
+
+
+def quote_checker(delimiter: str, backslash: bool) -> Callable[[str, bool], bool | None]:
+    """(line, whether a quote is open at its start) -> whether one is open at its end, or None for an error.
+
+    Any quote outside quotes opens; a closing one has to stand before a delimiter or line end.
+    The text may be several lines, without the last line end.
+    """
+    field = f'"{inside(backslash, True)}'
+    closed = re.compile(rf'[^"]*+(?:{field}"(?=[{re.escape(delimiter)}\r\n]|\Z)[^"]*+)*+')
+    rest = re.compile(rf"{field}\Z")
+
+    def step(line: str, is_open: bool) -> bool | None:
+        line = f'"{line}' if is_open else line
+        end = closed.match(line).end()
+        return False if end == len(line) else True if rest.match(line, end) else None
+
+    return step
+
+
 def quote_error(text: str, delimiter: str, backslash: bool) -> bool:
     """Whether a quote is left open, or closed before anything but a delimiter or line end."""
-    inside = r'(?:[^"\\]|\\"|\\(?!")|"")*' if backslash else r'(?:[^"]|"")*'
-    good = re.compile(rf'"{inside}"(?=[{re.escape(delimiter)}\r\n]|\Z)')
-    at = text.find('"')
-    while at >= 0:
-        m = good.match(text, at)
-        if not m:
-            return True
-        at = text.find('"', m.end())
-    return False
+    return quote_checker(delimiter, backslash)(text, False) is not False
+
+
+def field_tracker(delimiter: str, backslash: bool) -> Callable[[str, bool], bool]:
+    """(line, whether a field is open at its start) -> whether ``records`` has a quoted field open at its end."""
+    d = re.escape(delimiter)
+    closed = re.compile(rf'(?:(?:"{inside(backslash, False)}"[^{d}\r\n]*+|(?!")[^{d}\r\n]*+)[{d}\r\n])*+', re.S)
+
+    def step(line: str, is_open: bool) -> bool:
+        line = f'"{line}\n' if is_open else f"{line}\n"
+        return closed.match(line).end() < len(line)
+
+    return step
 
 
 def records(text: str, delimiter: str, backslash: bool) -> Iterator[tuple[int, list[str]]]:
     """(characters consumed, fields) of each record; lines without a character are none."""
     d = re.escape(delimiter)
-    inner = r'(?:[^"\\]|\\.|"")*' if backslash else r'(?:[^"]|"")*'
-    one = re.compile(rf'(?:"({inner})(?:"|\Z)([^{d}\r\n]*)|([^{d}\r\n]*))({d}|\r\n|\r|\n|\Z)', re.S)
+    one = re.compile(rf'(?:"({inside(backslash, False)})(?:"|\Z)([^{d}\r\n]*)|([^{d}\r\n]*))({d}|\r\n|\r|\n|\Z)', re.S)
     at, fields, n = 0, [], len(text)
     while at < n or fields:
         m = one.match(text, at)
@@ -131,9 +159,16 @@ class Sample:
     score: tuple[int, int, int]
 
 
-def sample(text: str, delimiter: str, backslash: bool) -> Sample | None:
-    """The header and the first records under a delimiter, and how well they fit it."""
-    if quote_error(text, delimiter, backslash):
+#: For each delimiter and escape mode, whether the quotes of the whole file fit it.
+Fits = dict[tuple[str, bool], bool]
+
+
+def sample(text: str, delimiter: str, backslash: bool, fits: Fits | None = None) -> Sample | None:
+    """The header and the first records under a delimiter, and how well they fit it.
+
+    ``fits`` tells what the text can't, as it is but the start of a file.
+    """
+    if not fits[delimiter, backslash] if fits is not None else quote_error(text, delimiter, backslash):
         return None
     header, rows = None, []
     for at, fields in records(text, delimiter, backslash):
@@ -159,13 +194,13 @@ def sample(text: str, delimiter: str, backslash: bool) -> Sample | None:
     return Sample(delimiter, backslash, width, shaped, (len(shaped), often, fields))
 
 
-def detect(data: bytes, side: str) -> Dialect:
+def detect(data: bytes, side: str, fits: Fits | None = None) -> Dialect:
     """The best-fitting candidate; refused if several fit alike and read differently."""
     data = skip_blank_lines(data)
     if not data:
         raise Refused("E_HEADERS", {"file": side, "issue": "missing_header"})
     text = data.decode("latin-1")
-    found = [s for c in CANDIDATES if (s := sample(text, chr(c), False) or sample(text, chr(c), True))]
+    found = [s for c in CANDIDATES if (s := sample(text, chr(c), False, fits) or sample(text, chr(c), True, fits))]
     if not found:
         raise Refused("E_CSV_PARSE", {"file": side, "line": None, "column": None})
     best = max(s.score for s in found)
@@ -183,11 +218,11 @@ def delimiter_name(c: str) -> str:
     return next((k for k, v in NAMES.items() if v == c), f"0x{ord(c):02x}")
 
 
-def escape_mode(data: bytes, delimiter: str, side: str) -> Dialect:
+def escape_mode(data: bytes, delimiter: str, side: str, fits: Fits | None = None) -> Dialect:
     """RFC quoting if the whole input fits it, else backslash escapes, else refused."""
     text = data.decode("latin-1")
     for backslash in (False, True):
-        if not quote_error(text, delimiter, backslash):
+        if fits[delimiter, backslash] if fits is not None else not quote_error(text, delimiter, backslash):
             return Dialect(delimiter, backslash)
     raise Refused("E_CSV_PARSE", {"file": side, "line": None, "column": None})
 

@@ -5,14 +5,24 @@ place in it, without gaps), text columns ``c0 .. cN`` named on the driver by ``h
 so no header can clash with another or with a name of the engine, and ``extra``, set for
 records with more fields than the header. CSV cells hold bytes as Latin-1 text, which
 keeps every byte and the byte order.
+
+``row_ord`` is computed, so two evaluations of a table may give a record two places:
+a sort samples its bounds anew, a scan may be split otherwise. Whatever relies on places
+pins the table first, which writes the records and their places once.
+
+A CSV file is read line by line in splits. Of a file with quotes, a first pass over the
+lines that hold one finds what each split does to an open quote; the driver strings
+that together (two flags a split), and then every split is cut into records by itself,
+with the lines that end its last record taken from the splits after it.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,6 +32,12 @@ from shiftlens.functions.text import is_blank
 from shiftlens.plans.refusal import Refused
 
 from . import dialect as d
+from .shared import materialize
+
+
+#: A UTF-8 byte order mark, as Latin-1.
+BOM = "\xef\xbb\xbf"
+Step = Callable[[str, bool], bool | None]
 
 
 @dataclass
@@ -32,6 +48,7 @@ class Table:
     encoding: str = "latin-1"
     dialect: d.Dialect | None = None
     side: str = ""
+    pinned: bool = False
 
     def column_of(self, name: bytes) -> int | None:
         return self.headers.index(name) if name in self.headers else None
@@ -39,45 +56,41 @@ class Table:
     def bytes_of(self, text: str) -> bytes:
         return text.encode(self.encoding, "surrogatepass")
 
+    def pin(self) -> DataFrame:
+        """The records with places that stay: written once, in one evaluation, and read back from there on."""
+        if not self.pinned:
+            self.df, self.pinned = materialize(self.df, "records"), True
+        return self.df
+
     def record_number(self, row_ord: int) -> int:
-        """The record's place, from 1."""
-        return self.df.where(F.col("row_ord") <= row_ord).count()
+        """The place, from 1, of a record of the pinned table."""
+        return self.pin().where(F.col("row_ord") <= row_ord).count()
 
-    def refuse_extra(self, row_ord: int | None) -> None:
+    def refuse_extra(self, some: bool) -> None:
         """Refuse the first record with more fields than the header, if there is one."""
-        if row_ord is not None:
-            raise Refused("E_HEADERS", {"file": self.side, "issue": "extra_fields", "record": self.record_number(row_ord)})
+        if some:
+            at = self.pin().where("extra").agg(F.min("row_ord")).first()[0]
+            raise Refused("E_HEADERS", {"file": self.side, "issue": "extra_fields", "record": self.record_number(at)})
 
     def check_width(self) -> None:
         """The same by a pass of its own, for when no other pass over the records is to come."""
-        self.refuse_extra(self.df.agg(first_extra()).first()[0])
-
-
-def first_extra() -> Column:
-    return F.min(F.when(F.col("extra"), F.col("row_ord")))
+        self.refuse_extra(bool(self.df.where("extra").take(1)))
 
 
 def from_frame(df: DataFrame, name: str, order: str | None = None) -> Table:
     """A DataFrame as a snapshot. Nulls are missing; a typed number's text is within the number grammar.
 
     ``order`` names the column that gives the record order; without one the order is
-    that of the frame's partitions.
+    that of the frame's partitions. Where the order matters the frame is evaluated once
+    and pinned; by key it is evaluated more than once, and has to give the same rows.
     """
     cols = [F.coalesce(F.col(f"`{f.name.replace('`', '``')}`").cast("string"), F.lit("")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
     if order:
-        df = ordered(df, order)
+        by = F.col(f"`{order.replace('`', '``')}`")
+        df = df.repartitionByRange(by).sortWithinPartitions(by)
     return Table(df.select(F.monotonically_increasing_id().alias("row_ord"), *cols, F.lit(False).alias("extra")), [f.name.encode() for f in df.schema.fields], name, "utf-8")
 
 
-def ordered(df: DataFrame, order: str) -> DataFrame:
-    """The frame range-sorted by a column and checkpointed, so that its partitions stay as they are."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shiftlens-"))  # only where the session names none
-    by = F.col(f"`{order}`")
-    return df.repartitionByRange(by).sortWithinPartitions(by).checkpoint()
-
-
 def read_head(spark: SparkSession, path: str, n: int, side: str) -> bytes:
     """The first bytes of a file in any store that the engine reads."""
     try:
@@ -92,22 +105,85 @@ def read_head(spark: SparkSession, path: str, n: int, side: str) -> bytes:
         raise Refused("E_IO", {"file": side, "error": said}) from e
 
 
-def has_quote(spark: SparkSession, path: str) -> bool:
-    return bool(spark.read.text(path).agg(F.bool_or(F.contains("value", F.lit('"')))).first()[0])
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The file's lines as bytes without a BOM, the offset and length of the split they start in, and whether they hold a quote."""
+    meta = F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("size")
+    raw = F.col("value").cast("binary")
+    marked = (F.monotonically_increasing_id() == 0) & (F.substring(raw, 1, len(BOM)) == F.lit(BOM.encode("latin-1")))
+    line = F.when(marked, F.substring(raw, len(BOM) + 1, 2**31 - 1)).otherwise(raw)
+    return spark.read.option("lineSep", "\n").text(path).select(*meta, line.alias("line"), F.contains("value", F.lit('"')).alias("quoted"))
 
 
-def whole_file(spark: SparkSession, path: str, delimiters: str) -> dict[tuple[str, bool], bool]:
-    """For each delimiter and escape mode, whether the whole file's quotes fit. One task; files of up to 2 GB."""
+def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[str]]]:
+    """((offset, length), lines) of each split that a task reads, in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines() -> Iterator[tuple[tuple[int, int], str]]:
         for batch in batches:
-            for cell in batch.column(0):
-                text = cell.as_py().removeprefix(b"\xef\xbb\xbf").decode("latin-1")
-                rows = [(c, b, not d.quote_error(text, c, b)) for c in delimiters for b in (False, True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)], names=["c", "b", "fits"])
+            texts = b"\n".join(batch.column(2).to_pylist()).decode("latin-1").split("\n") if len(batch) else []
+            yield from zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), texts, strict=True)
+
+    for split, group in groupby(lines(), key=lambda x: x[0]):
+        yield split, (line for _, line in group)
+
+
+def quote_effects(spark: SparkSession, path: str, steps: list[tuple[Callable[..., Step], str, bool]]) -> list[dict[tuple[int, int], tuple]]:
+    """For each kind of step: what it makes of a closed and of an open quote, by split, over the splits that hold quotes.
+
+    Only lines with a quote leave the engine, and two values a split and step come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [make(c, b) for make, c, b in steps]
+        for split, lines in by_split(batches):
+            states: list[list[bool | None]] = [[False, True] for _ in made]
+            for line in lines:
+                for step, state in zip(made, states, strict=True):
+                    if state[0] is state[1]:  # both ways have met
+                        if state[0] is not None:
+                            state[0] = state[1] = step(line, state[0])
+                    else:
+                        state[:] = [None if x is None else step(line, x) for x in state]
+            cells = [[split[0]] * len(made), [split[1]] * len(made), list(range(len(made))), [s[0] for s in states], [s[1] for s in states]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["block", "size", "step", "closed", "open"])
+
+    quoted = split_lines(spark, path).where("quoted").select("block", "size", "line")
+    out: list[dict] = [{} for _ in steps]
+    for r in quoted.mapInArrow(run, "block long, size long, step int, closed boolean, open boolean").collect():
+        out[r["step"]][r["block"], r["size"]] = (r["closed"], r["open"])
+    return out
+
+
+def walk(effects: dict[tuple[int, int], tuple]) -> list[tuple[tuple[int, int], bool | None]]:
+    """Each split that holds quotes and whether one is open at its end (None: an error in it or before it)."""
+    out, state = [], False
+    for split in sorted(effects):
+        state = None if state is None else effects[split][state]
+        out.append((split, state))
+    return out
+
+
+def check_quotes(spark: SparkSession, path: str, delimiters: str) -> tuple[d.Fits, bool]:
+    """Whether the whole file's quotes fit each delimiter and escape mode, and whether it has any."""
+    tests = [(c, b) for c in dict.fromkeys(delimiters) for b in (False, True)]
+    found = quote_effects(spark, path, [(d.quote_checker, c, b) for c, b in tests])
+    return {t: not e or walk(e)[-1][1] is False for t, e in zip(tests, found, strict=True)}, any(found)
+
+
+def find_header(data: bytes, chosen: d.Dialect, sep: str | None) -> tuple[list[str], int] | None:
+    """The header's fields, and the place after it in ``data``; None where the data ends before it does."""
+    text = d.skip_blank_lines(data).decode("latin-1")
+    at = 0
+    for end, fields in d.records(text, chosen.delimiter, chosen.backslash):
+        if not is_lead(text[at:end], fields, chosen, sep):
+            return fields, len(data) - len(text) + end
+        at = end
+    return None
 
-    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "c string, b boolean, fits boolean")
-    return {(r.c, r.b): r.fits for r in df.collect()}
+
+def is_lead(raw: str, fields: list[str], chosen: d.Dialect, sep: str | None) -> bool:
+    """Whether a record before the header is none: a line of blanks, a blank field, or the ``sep=`` line."""
+    return not raw.strip(" \t\r\n") or len(fields) == 1 and d.blank(fields) or sep is not None and d.delimiter_is_sep(fields, sep, chosen.delimiter)
 
 
 def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = None, aliases: dict[bytes, bytes] | None = None) -> Table:
@@ -116,50 +192,43 @@ def from_csv(spark: SparkSession, path: str, side: str, forced: str | None = Non
     Records that are too wide are flagged only; the pass that first reads all of them
     (keys, or record counts) refuses the first one.
     """
-    head = read_head(spark, path, d.HEAD, side)
+    size = d.HEAD
+    head = read_head(spark, path, size, side)
     data = d.guard(head, side)
-    bom = len(head) - len(data)
-    quoted = has_quote(spark, path)
-    if quoted and len(head) == d.HEAD:
-        fits = whole_file(spark, path, "".join(map(chr, d.CANDIDATES)) + (forced or d.sep_line(data) or ""))
-    else:
-        fits = {}
     sep = d.sep_line(data)
     given = forced or sep
+    whole = len(head) < size
+    fits, quoted = (None, b'"' in data) if whole else check_quotes(spark, path, "".join(map(chr, d.CANDIDATES)) + (given or ""))
     if given:
         if not d.skip_blank_lines(data):
             raise Refused("E_HEADERS", {"file": side, "issue": "missing_header"})
-        if fits:
-            modes = [b for b in (False, True) if fits[given, b]]
-            if not modes:
-                raise Refused("E_CSV_PARSE", {"file": side, "line": None, "column": None})
-            chosen = d.Dialect(given, modes[0])
-        else:
-            chosen = d.escape_mode(data, given, side)
+        chosen = d.escape_mode(data, given, side, fits)
     else:
-        complete = data if len(head) < d.HEAD else data[: data.rfind(b"\n") + 1] or data
-        chosen = d.detect(complete, side)
-        if fits and not fits[chosen.delimiter, chosen.backslash]:
-            raise Refused("E_CSV_PARSE", {"file": side, "line": None, "column": None})
-
-    header, skip, end = None, 0, 0
-    text = d.skip_blank_lines(data).decode("latin-1")
-    for end, fields in d.records(text, chosen.delimiter, chosen.backslash):
-        skip += 1
-        if len(fields) == 1 and d.blank(fields) or sep is not None and d.delimiter_is_sep(fields, sep, chosen.delimiter):
-            continue
-        header = fields
-        break
-    if header is None:
+        chosen = d.detect(data, side, fits)
+
+    found = find_header(data, chosen, sep)
+    while not whole and (found is None or found[1] == len(data)):  # a header longer than what has been read
+        size *= 8
+        head = read_head(spark, path, size, side)
+        data, whole = d.guard(head, side), len(head) < size
+        found = find_header(data, chosen, sep)
+    if found is None:
         raise Refused("E_HEADERS", {"file": side, "issue": "missing_header"})
+    header, end = found
     names = d.header_names(header, aliases or {}, side)
-
-    # physical lines up to the header's end, a bound on the rows that the reader gives for them
-    lead = len(re.findall("[\r\n]", data.decode("latin-1")[: len(data) - len(text) + end])) + 1
-    rows = exact_records(spark, path, chosen, skip, len(names)) if quoted else plain_records(spark, path, chosen.delimiter, len(names), header, bom, lead)
+    if quoted:
+        rows = quoted_records(spark, path, chosen, sep, len(names))
+        first = rows.where("not lead").select("row_ord").first()
+    else:
+        rows = plain_records(spark, path, chosen.delimiter, len(names))
+        # the first record with the header's fields; what stands before it has others
+        mark = [F.col(f"c{i}").isin(f, BOM + f) if i == 0 else F.col(f"c{i}") == f for i, f in enumerate(header)]
+        first = rows.where(F.forall(F.array(*mark), lambda x: x)).select("row_ord").first()
+    if first is None:
+        raise Refused("E_IO", {"file": side, "error": "the file changed while it was read"})
     # a flag, not the cells, is filtered on: the optimizer would carry conditions on every cell through the plan
-    rows = rows.where("not void").drop("void", "row_ord")
-    return Table(rows.select(F.monotonically_increasing_id().alias("row_ord"), "*"), names, path, "latin-1", chosen, side)
+    rows = rows.where((F.col("row_ord") > first["row_ord"]) & ~F.col("void"))
+    return Table(rows.select(F.monotonically_increasing_id().alias("row_ord"), *(f"c{i}" for i in range(len(names))), "extra"), names, path, "latin-1", chosen, side)
 
 
 def fit_width(parts: Column, n: int) -> tuple[list[Column], Column]:
@@ -168,7 +237,7 @@ def fit_width(parts: Column, n: int) -> tuple[list[Column], Column]:
     return cells, F.exists(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), lambda x: ~is_blank(x))
 
 
-def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header: list[str], bom: int, lead: int) -> DataFrame:
+def plain_records(spark: SparkSession, path: str, delimiter: str, n: int) -> DataFrame:
     """Records of a file without quotes: the engine's splittable reader.
 
     It flags records whose width differs; those alone are split again from their text.
@@ -184,37 +253,112 @@ def plain_records(spark: SparkSession, path: str, delimiter: str, n: int, header
     # the reader wants a column besides the raw text, whatever is asked of the result
     odd = odd & (F.length(F.coalesce(F.col("c0"), F.lit(""))) >= 0)
     extra = F.coalesce(odd & wide, F.lit(False))
-    first = F.monotonically_increasing_id()
     void = is_blank(F.concat(*cells)) & ~extra
-    out = df.select(first.alias("row_ord"), *cells, extra.alias("extra"), void.alias("void"))
-    # the header, and what stands before it, is in the first rows of the first partition
-    mark = "ï»¿" if bom else ""
-    is_header = F.lit(True)
-    for i, f in enumerate(header):
-        is_header &= F.col(f"c{i}").isin(f, mark + f) if i == 0 else F.col(f"c{i}") == f
-    at = min(r["row_ord"] for r in out.select("row_ord", is_header.alias("is_header")).take(lead) if r["is_header"])
-    return out.where(F.col("row_ord") > at)
-
-
-def exact_records(spark: SparkSession, path: str, chosen: d.Dialect, skip: int, n: int) -> DataFrame:
-    """Records of a file with quotes, by the exact tokenizer: one task a file."""
-    fields = ", ".join(f"c{i} string" for i in range(n))
+    return df.select(F.monotonically_increasing_id().alias("row_ord"), *cells, extra.alias("extra"), void.alias("void"))
+
+
+def quoted_records(spark: SparkSession, path: str, chosen: d.Dialect, sep: str | None, n: int) -> DataFrame:
+    """Records of a file with quotes, cut exactly, split by split.
+
+    ``lead`` marks records that can only stand before the header. Memory is a batch of
+    lines and one record; the driver holds what records that cross a split's end have
+    in the splits after it.
+    """
+    step_of = (d.field_tracker, chosen.delimiter, chosen.backslash)
+    known = walk(quote_effects(spark, path, [step_of])[0])
+    quoted = {split for split, _ in known}
+    # splits after the one at ``lo``, up to ``hi``, start inside a record
+    after = [split[0] for split, _ in known[1:]] + [2**63 - 1]
+    crossed = [(split[0], hi) for (split, is_open), hi in zip(known, after, strict=True) if is_open]
+    lows = [lo for lo, _ in crossed]
+
+    def starts_inside(block: int) -> bool:
+        k = bisect_left(lows, block) - 1
+        return k >= 0 and block <= crossed[k][1]
+
+    lines = split_lines(spark, path).select("block", "size", "line")
+    tails = record_ends(lines, starts_inside, lows, step_of) if crossed else {}
+    kinds = [*[pa.string()] * n, *[pa.bool_()] * 3]
+    names = [*(f"c{i}" for i in range(n)), "extra", "void", "lead"]
+
+    def cut(split: tuple[int, int], lines: Iterator[str]) -> Iterator[tuple[str, list[str]]]:
+        """(raw text, fields) of the records that begin in a split."""
+        step, is_open, skip, held = step_of[0](*step_of[1:]), starts_inside(split[0]), starts_inside(split[0]), []
+
+        def flush() -> Iterator[tuple[str, list[str]]]:
+            text, at = "\n".join(held) + "\n", 0
+            for end, fields in d.records(text, chosen.delimiter, chosen.backslash):
+                yield text[at:end], fields
+                at = end
+
+        for line in lines:
+            if '"' not in line:
+                if is_open:
+                    if not skip:
+                        held.append(line)
+                elif "\r" not in line:
+                    if line:
+                        yield line, line.split(chosen.delimiter)
+                else:
+                    for part in filter(None, line.split("\r")):
+                        yield part, part.split(chosen.delimiter)
+                continue
+            if split not in quoted:
+                raise ValueError(f"{path}: its splits changed between two passes")
+            is_open = step(line, is_open)
+            if not skip:
+                held.append(line)
+                if not is_open:
+                    yield from flush()
+                    held = []
+            elif not is_open:
+                skip = False
+        if is_open and not skip:
+            held += tails.get(split[0], [])
+            yield from flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column(0):
-                text = d.skip_blank_lines(cell.as_py().removeprefix(b"\xef\xbb\xbf")).decode("latin-1")
-                rows: list[list] = []
-                for k, (_, f) in enumerate(d.records(text, chosen.delimiter, chosen.backslash)):
-                    if k >= skip:
-                        rows.append([k, *f[:n], *[""] * (n - len(f)), not d.blank(f[n:]), d.blank(f)])
-                    if len(rows) >= 20_000:
-                        yield pack(rows)
-                        rows = []
-                yield pack(rows)
+        rows: list[list] = []
+        for split, lines in by_split(batches):
+            for raw, f in cut(split, lines):
+                wide = len(f) > n
+                rows.append([*f[:n], *[""] * (n - len(f)), wide and not d.blank(f[n:]), d.blank(f), is_lead(raw, f, chosen, sep)])
+                if len(rows) >= 20_000:
+                    yield pack(rows)
+                    rows = []
+        yield pack(rows)
 
     def pack(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.string()] * n, pa.bool_(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row_ord", *(f"c{i}" for i in range(n)), "extra", "void"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"row_ord long, {fields}, extra boolean, void boolean")
+    fields = ", ".join(f"c{i} string" for i in range(n))
+    rows = lines.mapInArrow(run, f"{fields}, extra boolean, void boolean, lead boolean")
+    return rows.select(F.monotonically_increasing_id().alias("row_ord"), "*")
+
+
+def record_ends(lines: DataFrame, starts_inside: Callable[[int], bool], crossed: list[int], step_of: tuple) -> dict[int, list[str]]:
+    """For each split whose last record crosses its end, that record's lines in the splits after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = step_of[0](*step_of[1:])
+        for (block, _), texts in by_split(batches):
+            held, is_open = [], starts_inside(block)
+            while is_open and (line := next(texts, None)) is not None:
+                held.append(line.encode("latin-1"))
+                is_open = step(line, True)
+            cells = [pa.array([block] * len(held), pa.int64()), pa.array(held, pa.binary()), pa.array([is_open] * len(held), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cells, names=["block", "line", "goes_on"])
+
+    heads: dict[int, tuple[list[str], bool]] = {}
+    for r in lines.where(F.col("block") > crossed[0]).mapInArrow(run, "block long, line binary, goes_on boolean").collect():
+        heads.setdefault(r["block"], ([], r["goes_on"]))[0].append(r["line"].decode("latin-1"))
+    out: dict[int, list[str]] = {}
+    blocks = sorted(heads)
+    for lo in crossed:
+        out[lo] = []
+        for block in blocks[bisect_right(blocks, lo) :]:
+            out[lo] += heads[block][0]
+            if not heads[block][1]:
+                break
+    return out
