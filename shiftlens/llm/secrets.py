@@ -2,11 +2,12 @@
 
 Three base kinds are found by pattern. Beyond them, every candidate string (a run of
 base64 characters) is swept by a window whose character counts, and so whose Shannon
-entropy, are updated by one character in and one out. The character class of the
+entropy, are updated by one character in and one out. The terms are scaled integers, so
+their running sum is exact however long the string. The character class of the
 candidate (hex, lower- or upper-case alphanumeric, mixed) sets the entropy it has to
 reach. Windows over the bound that touch join into one span. Allow-listed strings
-(UUIDs, paths, pure words or numbers, few distinct characters, placeholders) are
-suppressed, as are spans that a base match covers.
+(UUIDs, paths, words in a word's case, numbers) are suppressed, as are spans that hold
+a placeholder or that a base match covers.
 
 Rows are independent: no shuffle, one pass, memory bounded by a batch and one text.
 Defined results: null or empty text gives zero counts, the digest of the empty string
@@ -38,31 +39,33 @@ ALLOWED = tuple(
     re.compile(p)
     for p in (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
-        r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",  # words, with joints
+        r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/](?:[A-Z]?[a-z]+|[A-Z]+))*",  # words, with joints
+        r"[a-z]*(?:[A-Z][a-z]{2,})+",  # words, joined by their capitals
         r"[-+/_=0-9]+",  # numbers and rules
         r"(?:/?[A-Za-z][a-z]*/)+[A-Za-z0-9_-]{0,12}",  # paths
-        r".*(?:EXAMPLE|example|placeholder|XXXX|xxxx|0000000|1234567).*",  # placeholders
     )
 )
-#: c * log2(c) for a count in a window.
-TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+PLACEHOLDER = re.compile("EXAMPLE|example|placeholder|XXXX|xxxx|0000000|1234567")
+#: c * log2(c) for a count in a window, in whole units of 2 ** -40.
+UNIT = 1 << 40
+TERM = [0, *(round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 1))]
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def hot_windows(s: str, bound: float) -> list[tuple[int, int]]:
     """Merged (start, end) of the windows of ``s`` that reach ``bound`` bits."""
-    need = (math.log2(WINDOW) - bound) * WINDOW + 1e-9  # entropy = log2(n) - sum(c log c) / n
+    need = round((math.log2(WINDOW) - bound) * WINDOW * UNIT) + WINDOW  # entropy = log2(n) - sum(c log c) / n; each term is rounded
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, spans = 0, []
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += TERM[n + 1] - TERM[n]
         if i >= WINDOW:
             old = s[i - WINDOW]
             n = counts[old]
             counts[old] = n - 1
             total += TERM[n - 1] - TERM[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += TERM[n + 1] - TERM[n]
         if i >= WINDOW - 1 and total <= need:
             start = i - WINDOW + 1
             if spans and start <= spans[-1][1]:
@@ -91,7 +94,8 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         if any(p.fullmatch(s) for p in ALLOWED):
             continue
         bound = next(b for _, p, b in BITS if p.fullmatch(s))
-        out += [(at + a, 3, at + b) for a, b in hot_windows(s, bound) if not any(x <= at + a and at + b <= y for x, _, y in base)]
+        hot = [(a, b) for a, b in hot_windows(s, bound) if not PLACEHOLDER.search(s, a, b)]
+        out += [(at + a, 3, at + b) for a, b in hot if not any(x <= at + a and at + b <= y for x, _, y in base)]
     return out
 
 

@@ -46,6 +46,23 @@ def test_entropy_adds_spans_and_allow_list_suppresses():
         assert secrets.scan(f"see {fine} there")[4] == ""
 
 
+def test_sums_stay_exact_over_a_very_long_string():
+    rng = random.Random(5)
+    s = "".join(rng.choices("abcdefABCDEF0123456789+/xyz", k=400_000))
+    for bound in (3.6, 3.9):
+        at = 399_000
+        want = [(a + at, b + at) for a, b in secrets.hot_windows(s[at:], bound)]
+        assert [x for x in secrets.hot_windows(s, bound) if x[0] > at + 20] == [x for x in want if x[0] > at + 20]
+
+
+def test_only_the_span_with_a_placeholder_is_suppressed():
+    key = "q7Zp2Lk9Xv4Bn8Rt1Wm6Yc3"
+    calm = "a" * 30
+    assert secrets.scan(f"{key}{calm}EXAMPLE{calm}")[4].startswith("entropy:0:")
+    assert secrets.scan("see qZpLkXvBnRtWmYcFhJdGsTa there")[4]  # letters only, but no word's case
+    assert not secrets.scan("see getElementsByClassNameAndValue there")[4]
+
+
 def test_query_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "password = hunter2hunter2"), (3, "password = hunter2hunter2"), (None, "z" * 300_000)], "doc_id long, text string")
     got = {tuple(r) for r in secrets.scan_secrets(docs).collect()}
