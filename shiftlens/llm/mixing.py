@@ -5,14 +5,15 @@ words is dealt by weight, no source above ``cap`` times its own words; the exces
 dealt again by weight, which is water filling: one level, found from prefix sums over
 the sources sorted by capacity per weight.
 
-Inside a source, documents are range-sorted by a hash-random key. The key's leading
+Inside a source, documents are range-sorted by a hash-random key, of the doc_id and the
+text, so that rows that share an id, or have none, are spread as well. The key's leading
 32 bits cut a source into as many equal ranges as its share of the rows asks for, so a
 source with a third of all rows is spread over a third of the tasks. Range totals give distributed
 prefix sums, and the budget is cut exactly: full epochs first, then the prefix, with
 the document at the cut taken in part.
 
 Defined results: null text has size 0 and takes 0; a null source is a source; repeated
-rows count each; an empty table gives an empty result; a source without words has
+rows count each, and of rows alike in id and text the columns in ``keep`` decide; an empty table gives an empty result; a source without words has
 target 0; extra columns are ignored unless named in ``keep``.
 """
 
@@ -79,15 +80,15 @@ def mix_sources(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the columns in ``keep``, a row per input row."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    narrow = materialize(base.select("doc_id", "source", "size"), "mix-sizes")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *(F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep))
+    narrow = materialize(base.select("doc_id", "source", "size", "_key"), "mix-sizes")
     targets = materialize(source_targets(narrow, weights, share, cap), "mix-sources")
     spread = ranges_per_task * shuffle_partitions(docs.sparkSession)
     n_rows = targets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_rows") * spread / max(1, n_rows)))
     n_sources, n_ranges = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(ranges), F.lit(0))).first()
 
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rename = targets.select(F.col("source").alias("_source"), "source_size", "target", ranges.alias("_ranges"))
 
     def attach(rows: DataFrame) -> DataFrame:
@@ -96,12 +97,13 @@ def mix_sources(
         lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
         return joined.withColumn("_range", F.shiftright(lead * F.col("_ranges"), 32))
 
-    rows = attach((base if keep else narrow).withColumn("_key", key))
-    totals = attach(narrow.withColumn("_key", key)).groupBy("source", "_range").agg(F.sum("size").alias("_total"))
+    rows = attach(base if keep else narrow)
+    totals = attach(narrow).groupBy("source", "_range").agg(F.sum("size").alias("_total"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
 
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.xxhash64(*(F.col(f"_keep_{c}") for c in keep))] if keep else []
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *last).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     side = F.broadcast(offsets) if n_ranges <= BROADCAST_ROWS else offsets
     rows = rows.join(side, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_of")))
@@ -109,13 +111,13 @@ def mix_sources(
     epochs = F.floor(budget / whole)
     left = budget - epochs * F.col("source_size") - F.col("_offset") - F.col("_inside")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), left))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"`_keep_{c}`").alias(c) for c in keep))
 
 
 ORACLE = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '')) as k
+         md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as k
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from d group by source

@@ -24,7 +24,7 @@ def plain_mix(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
         left -= sum(target[s] for s in full)
         open_ -= full
     out, before = [], defaultdict(int)
-    key = lambda r: (hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, size(r[2]))
+    key = lambda r: (hashlib.md5(f"mix:{'' if r[0] is None else r[0]}:{hashlib.md5((r[2] or '').encode()).hexdigest()}".encode()).hexdigest(), r[0] or 0, size(r[2]))
     for i, s, t in sorted(rows, key=key):
         n, budget = size(t), floor(target[s] + 1e-9)
         epochs = budget // max(1, total[s])
@@ -44,6 +44,15 @@ def test_mix_equals_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
 
 
+def test_rows_that_share_an_id_are_spread_and_ties_are_settled(spark):
+    rows = [(None, "a", f"{'w ' * (i % 5 + 1)}{i}", "en") for i in range(400)] + [(1, "a", "same words here", lang) for lang in ("en", "de", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
+    first = sorted(map(str, mixing.mix_sources(docs, share=0.5, keep=("text", "lang")).collect()))
+    assert first == sorted(map(str, mixing.mix_sources(docs.repartition(7, "lang", "text"), share=0.5, keep=("text", "lang")).collect()))
+    want, _ = plain_mix([r[:3] for r in rows], share=0.5)
+    assert sorted((r["size"], r.taken) for r in mixing.mix_sources(docs, share=0.5).collect()) == sorted((w[1], w[3]) for w in want)
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix_sources(empty).count() == 0
