@@ -80,6 +80,48 @@ def test_recall_against_brute_force(spark):
     assert got[200] == want[200] and got[240] == want[240]  # copies: the smallest other ids
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Brute force over rows: an id may stand for several vectors; a wholly repeated row counts once."""
+    rng = np.random.default_rng(9)
+    rows = {(int(i), tuple(float(v) for v in rng.integers(-3, 4, 3))) for i in rng.integers(0, 60, 150)}
+    rows = sorted(r for r in rows if any(r[1]))
+    want = []
+    for i, x in rows:
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in rows if (j, y) != (i, x))[:7]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1)]
+    assert len({i for i, _ in rows if i % 20 == 0}) < sum(i % 20 == 0 for i, _ in rows)  # some query id has several vectors
+    df = spark.createDataFrame([(i, list(x)) for i, x in [*rows, *rows[::3]]], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ann.search(df, k=7, recall=1.0).collect())) == sorted(want)
+
+
+def test_codes_are_packed_and_tables_read_them():
+    rng = np.random.default_rng(5)
+    for dim in (10, 24):  # an odd and an even number of subspaces
+        x = rng.normal(size=(300, dim))
+        index = ann.fit(x, 3)
+        cell, codes = index.encode(x)
+        packed = ann.pack_codes(codes)
+        assert packed.shape[1] == (codes.shape[1] + 1) // 2 and packed.dtype == np.uint8
+        q = rng.normal(size=(5, dim))
+        near = index.books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)[:, :dim]
+        got = np.stack([t.ravel().take(packed + np.arange(packed.shape[1]) * 256).sum(1) for t in index.tables(q)])
+        assert np.allclose(got, q @ near.T)
+
+
+def test_shards_hold_every_cell_once():
+    sizes = {c: n for c, n in enumerate([5, 0 + 3, 40, 2, 2, 9, 11, 1, 30])}
+    deal = ann.shards_of(sizes, 10)
+    held = {}
+    for c, (first, pieces) in deal.items():
+        assert pieces == -(-sizes[c] // 10)
+        for s in range(first, first + pieces):
+            held.setdefault(s, []).append(c)
+    for s, cells in held.items():
+        assert len(cells) == 1 or sum(sizes[c] for c in cells) <= 10, (s, cells)
+    assert sorted(held) == list(range(len(held)))
+
+
 def test_anisotropic_codes_lower_the_weighted_error():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 64))
