@@ -6,28 +6,38 @@ item's q-grams with it, on diagonals that differ by at most ``e``. So shared q-g
 are counted, by item, in bands of ``2 (e + 1)`` diagonals that overlap by half; bands
 that reach the bound are verified by a banded alignment of the whole item.
 
-The items' q-grams are an index of bounded size that tasks build from a broadcast;
-beyond ``block_chars`` characters the items are dealt into blocks and the documents
-are scanned once a block. Documents are never shuffled; a long text goes in overlapping
-pieces.
+Items are dealt into blocks of about ``block_chars`` characters; a task a block writes
+the index of its q-grams into the shared folder. The documents are scanned once: a task
+takes texts of some megabytes at a time through the blocks one after another, so that a
+worker holds one block's index and the driver none. An item is never cut, so a block is
+as large as its longest item. Documents are never shuffled; a long
+text goes in overlapping pieces.
 
 Defined results: null or empty texts and items match nothing; items under q characters
 match exactly; rows repeat with repeated input rows; equal items each match; empty
-tables give empty results.
+tables give empty results. The index stays in the shared folder as long as the result
+is to be read.
 """
 
 from __future__ import annotations
 
 import functools
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import new_path
+
 Q = 10
 RATE = 0.08
 PIECE = 1 << 20
+#: Characters of items a block, and of texts that go through the blocks at a time.
+BLOCK_CHARS, TEXT_CHARS = 2_000_000, 32_000_000
 SLOTS = 22
 BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, item_id long, first long, after long, edits int"
@@ -66,31 +76,63 @@ def budget(n: int, q: int = Q, rate: float = RATE) -> int:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items (id, text, how often)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, rate: float = RATE):
-        self.q = q
-        self.ids = [i for i, _ in items]
-        self.codes = [codes(t) for _, t in items]
-        self.texts = [t for _, t in items]
-        n = np.array([len(c) for c in self.codes], np.int64)
-        self.edits = np.array([budget(k, q, rate) for k in n], np.int64)
-        self.need = n - q + 1 - self.edits * q
-        self.short = [k for k in range(len(items)) if 0 < n[k] < q]
-        grams = [gram_hashes(c, q) for c in self.codes]
+    def __init__(self, items: list[tuple[int | None, str, int]], q: int = Q, rate: float = RATE):
+        texts = [codes(t) for _, t, _ in items]
+        grams = [gram_hashes(c, q) for c in texts]
         h = np.concatenate([*grams, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        at = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        self.item, self.at = item[order], at[order]
-        self.hashes, self.first = np.unique(h[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(h)))
+        hashes, first = np.unique(h[order], return_index=True)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in grams])
+        at = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.empty(0, np.int32)])
+        none = [i is None for i, _, _ in items]
+        self.load(
+            q=np.array([q]),
+            rate=np.array([rate]),
+            ids=np.array([0 if i is None else i for i, _, _ in items], np.int64),
+            none=np.array(none, bool),
+            times=np.array([n for _, _, n in items], np.int64),
+            ends=np.cumsum([len(c) for c in texts], dtype=np.int64),
+            texts=np.concatenate([*texts, np.empty(0, "<u4")]),
+            hashes=hashes,
+            first=first.astype(np.int32),
+            item=item[order],
+            at=at[order],
+        )
+
+    def load(self, **arrays: np.ndarray) -> None:
+        self.arrays = arrays
+        self.q, rate = int(arrays["q"][0]), float(arrays["rate"][0])
+        self.ids = [None if n else int(i) for i, n in zip(arrays["ids"], arrays["none"], strict=True)]
+        self.times = arrays["times"]
+        self.codes = np.split(arrays["texts"], arrays["ends"][:-1]) if len(self.ids) else []
+        self.hashes, self.first, self.item, self.at = (arrays[k] for k in ("hashes", "first", "item", "at"))
+        n = np.array([len(c) for c in self.codes], np.int64)
+        self.edits = np.array([budget(k, self.q, rate) for k in n], np.int64)
+        self.need = n - self.q + 1 - self.edits * self.q
+        self.short = [k for k in range(len(n)) if 0 < n[k] < self.q]
+        self.count = np.diff(np.append(self.first, len(self.item)))
         self.slots = np.zeros(1 << SLOTS, bool)
-        self.slots[h >> np.uint64(64 - SLOTS)] = True
-        long = n >= q
+        self.slots[self.hashes >> np.uint64(64 - SLOTS)] = True
+        long = n >= self.q
         self.least = int(self.need[long].min()) if long.any() else 0
         self.span = int((n + 2 * self.edits).max()) if len(n) else 0
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.arrays)
+        return out.getvalue()
+
+    @classmethod
+    def parse(cls, data: bytes) -> Index:
+        index = cls.__new__(cls)
+        index.load(**np.load(io.BytesIO(data)))
+        return index
+
+    def text(self, k: int) -> str:
+        return self.codes[k].tobytes().decode("utf-32-le", "surrogatepass")
+
     def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
         """(item, lowest diagonal) of the bands that share enough q-grams with the text."""
         h = gram_hashes(c, self.q)
@@ -117,7 +159,7 @@ class Index:
         p, k = p[live], k[live]
         n = self.count[k]
         rows = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        item, at, p = self.item[rows], self.at[rows], np.repeat(p, n)
+        item, at, p = self.item[rows].astype(np.int64), self.at[rows].astype(np.int64), np.repeat(p, n)
         enough = np.bincount(item, minlength=len(self.ids)) >= np.maximum(self.need, 1)
         keep = enough[item]
         item, at, p = item[keep], at[keep], p[keep]
@@ -167,10 +209,11 @@ class Index:
                 if got := self.align(c, item, low):
                     found.setdefault(item, []).append((got[0], got[1] + off, got[2] + off))
         for k in self.short:
-            at = text.find(self.texts[k])
+            item = self.text(k)
+            at = text.find(item)
             while at >= 0:
-                found.setdefault(k, []).append((0, at, at + len(self.texts[k])))
-                at = text.find(self.texts[k], at + len(self.texts[k]))
+                found.setdefault(k, []).append((0, at, at + len(item)))
+                at = text.find(item, at + len(item))
         out = []
         for item, places in sorted(found.items()):
             kept: list[tuple[int, int, int]] = []
@@ -181,53 +224,91 @@ class Index:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def index_of(items: tuple[tuple[int | None, str], ...], q: int, rate: float) -> Index:
-    return Index(list(items), q, rate)
+def store(uri: str):
+    """The file system and path of a URI or an absolute path."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(uri)
+
+
+@functools.lru_cache(maxsize=1)
+def index_of(path: str) -> Index:
+    """The one index that a worker holds."""
+    system, name = store(path)
+    with system.open_input_stream(name) as f:
+        return Index.parse(f.read())
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The normalised items, in blocks of about ``block_chars`` characters (one item a block at least)."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield tuple(sorted(((i, t) for i, x in block if (t := normalise(x))), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
+def normalised_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalise(t.as_py()) for t in batch.column(1)], pa.string())], names=["item_id", "text"])
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = 8_000_000) -> DataFrame:
+
+def write_index(benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> list[str]:
+    """The paths of the blocks' indexes; only their number and names reach the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").mapInArrow(normalised_items, "item_id long, text string")
+    items = items.where("text != ''").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    folder = new_path(benchmark.sparkSession, "items")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(None if pd.isna(i) else int(i), t, int(n)) for i, t, n in zip(pdf["item_id"], pdf["text"], pdf["times"], strict=True)]
+        data = Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), q, rate).dump()
+        system, root = store(folder)
+        system.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.npz"  # of a task that runs twice, the name that it returns counts
+        with system.open_output_stream(f"{root}/{name}") as out:
+            out.write(data)
+        return pd.DataFrame({"name": [name]})
+
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-total // block_chars)))).alias("block")
+    # null ids become not-a-number on the way, so ids travel as text
+    dealt = items.select(F.col("item_id").cast("string").alias("item_id"), "text", "times", block)
+    return sorted(f"{folder}/{r['name']}" for r in dealt.groupBy("block").applyInPandas(build, "name string").collect())
+
+
+def portions(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in pieces of about TEXT_CHARS characters, with their normalised texts."""
+    for batch in batches:
+        begin, texts, size = 0, [], 0
+        for k, cell in enumerate(batch.column(at)):
+            texts.append(normalise(cell.as_py()))
+            size += len(texts[-1])
+            if size >= TEXT_CHARS or k == len(batch) - 1:
+                yield batch.slice(begin, k + 1 - begin), texts
+                begin, texts, size = k + 1, [], 0
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, first, after (in the normalised text) and edits, a row per leaked item and place."""
-    rows = docs.select(docs["doc_id"].cast("long"), "text")
-    parts = []
-    for items in item_blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = index_of(sent.value, q, rate)
-            for batch in batches:
-                out = []
-                for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    out += [(doc_id, index.ids[i], a, b, n) for i, a, b, n in index.matches(normalise(cell.as_py()))]
+    paths = write_index(benchmark, q, rate, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches, 1):
+            ids = batch.column(0).to_pylist()
+            for path in paths:
+                index, out = index_of(path), []
+                for doc_id, text in zip(ids, texts, strict=True):
+                    for i, a, b, n in index.matches(text):
+                        out += [(doc_id, index.ids[i], a, b, n)] * int(index.times[i])
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "first", "after", "edits"])
 
-        parts.append(rows.mapInArrow(run, SCHEMA))
-    return functools.reduce(DataFrame.unionByName, parts)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = 8_000_000) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item is found; the input's columns."""
     at = docs.columns.index("text")
-    for items in item_blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    paths = write_index(benchmark, q, rate, block_chars)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = index_of(sent.value, q, rate)
-            for batch in batches:
-                clean = [not index.matches(normalise(cell.as_py())) for cell in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches, at):
+            clean = [True] * len(texts)
+            for path in paths:
+                index = index_of(path)
+                clean = [c and not index.matches(t) for c, t in zip(clean, texts, strict=True)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

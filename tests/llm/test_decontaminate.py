@@ -21,7 +21,7 @@ def items(rng, n):
 def test_matches_equal_brute_force():
     rng = random.Random(6)
     bench = items(rng, 6)
-    index = d.Index(bench)
+    index = d.Index.parse(d.Index([(i, t, 1) for i, t in bench]).dump())
     hits = 0
     for _ in range(60):
         k = rng.randrange(len(bench))
@@ -44,12 +44,14 @@ def test_query_edge_rows_and_blocks(spark):
     bench = [*items(rng, 5), (5, None), (6, ""), (7, "tiny"), (None, "no id for this item but a text of some length")]
     texts = [None, "", "Tiny", "x " + bench[0][1].upper() + "\n y", bench[1][1] + " " * 5 + bench[1][1], "clean words only here", "q" * 3_000_000 + " " + bench[2][1], "No id  for this\nitem but a text of some length"]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(3, texts[3], 0)], "doc_id long, text string, item_id int")
+    bench = [*bench, bench[1]]  # a repeated row
     b = spark.createDataFrame([(*r, "z") for r in bench], "item_id long, text string, doc_id string")
-    want = sorted([(2, 7, 0), (3, 0, 0), (3, 0, 0), (4, 1, 0), (4, 1, 0), (6, 2, 0), (7, None, 0)], key=str)
+    want = sorted([(4, 1, 0), (4, 1, 0), (2, 7, 0), (3, 0, 0), (3, 0, 0), (4, 1, 0), (4, 1, 0), (6, 2, 0), (7, None, 0)], key=str)
     for block in (8_000_000, 100):
         got = sorted(((r.doc_id, r.item_id, r.edits) for r in d.find_leaks(docs, b, block_chars=block).collect()), key=str)
         assert got == want
         kept = sorted(r.doc_id for r in d.drop_leaked(docs, b, block_chars=block).collect())
         assert kept == [0, 1, 5]
+    assert len(d.write_index(b, block_chars=100)) > 3 and len(d.write_index(b)) == 1
     assert d.find_leaks(docs.limit(0), b).count() == 0
     assert d.find_leaks(docs, b.limit(0)).count() == 0
