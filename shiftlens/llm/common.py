@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: A word, for Java, Python and DuckDB alike: a run without space, tab, LF, VT, FF or CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from shiftlens.sources.shared import delete, materialize, new_path, scratch, shared_dir, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
+__all__ = ["WORD", "delete", "lower_ascii", "map_rows", "materialize", "new_path", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "write_table"]
 
-    Only where the session names none (as in tests) a temporary one is set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shiftlens-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+#: A word, for Java, Python and DuckDB alike: a run without space, tab, LF, VT, FF or CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` once into the shared folder and read it back; also the path."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    return write_table(df, label)[0]
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the frame has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` by position, whatever the columns are called (it can't take names with dots)."""
+    inner = StructType([StructField(f"_{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    names = inner.names
 
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.toDF(*(f"_{k}" for k in range(len(df.columns)))).mapInArrow(renamed, inner).toDF(*schema.names)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import new_path
+from .common import map_rows, new_path
 
 Q = 10
 RATE = 0.08
@@ -311,4 +311,4 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
                 clean = [c and not index.matches(t) for c, t in zip(clean, texts, strict=True)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

@@ -23,13 +23,13 @@ column named lines_removed is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from .common import materialize
+from .common import map_rows, materialize, unused
 
 LAST = 2**63 - 1
 #: The hashes of a chunk's two lines.
@@ -44,12 +44,15 @@ def chunks(text: str, solo_words: int = 40) -> list[tuple[int, int]]:
     return sorted(out + solo) if solo else out
 
 
+Hash = Callable[[bytes], tuple[int, int]]
+
+
 def hash_pair(data: bytes) -> tuple[int, int]:
     d = xxh3_128_digest(data)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def line_rows(docs: DataFrame, solo_words: int) -> DataFrame:
+def line_rows(docs: DataFrame, solo_words: int, hashed: Hash) -> DataFrame:
     """The hash and text of each line that is in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +70,13 @@ def line_rows(docs: DataFrame, solo_words: int) -> DataFrame:
             yield pack(out)
 
     def pack(lines: set[str]) -> pa.RecordBatch:
-        keys = [hash_pair(x.encode("utf-8", "surrogatepass")) for x in lines]
+        keys = [hashed(x.encode("utf-8", "surrogatepass")) for x in lines]
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lines, pa.string())], names=["l1", "l2", "line"])
 
     return docs.select("text").mapInArrow(run, "l1 long, l2 long, line string")
 
 
-def chunk_rows(docs: DataFrame, solo_words: int) -> DataFrame:
+def chunk_rows(docs: DataFrame, solo_words: int, hashed: Hash) -> DataFrame:
     """A row per chunk: the row and lines that it stands in, and the hashes of its lines (zeros for none)."""
     names = ["doc_id", "th", "first", "after", *KEY]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
@@ -85,7 +88,7 @@ def chunk_rows(docs: DataFrame, solo_words: int) -> DataFrame:
                 text = cell.as_py()
                 found = chunks(text, solo_words) if text else []
                 if found:
-                    keys = [hash_pair(x.encode("utf-8", "surrogatepass")) for x in text.split("\n")]
+                    keys = [hashed(x.encode("utf-8", "surrogatepass")) for x in text.split("\n")]
                     rows += [(doc_id, th, a, b, *keys[a], *(keys[a + 1] if b - a == 2 else (0, 0))) for a, b in found]
                 if len(rows) > 1 << 16:
                     yield pack(rows)
@@ -99,36 +102,38 @@ def chunk_rows(docs: DataFrame, solo_words: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame, solo_words: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame, solo_words: int, hashed: Hash = hash_pair) -> DataFrame:
     """The line hashes and keeper (doc_id and text hash, the smallest) of each chunk that occurs more than once.
 
     Lines are compared by bytes: one whose hash stands for two different texts is in no
     chunk here, so nothing is removed by a collision.
     """
-    clash = line_rows(docs, solo_words).groupBy("l1", "l2", "line").count().groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
+    clash = line_rows(docs, solo_words, hashed).groupBy("l1", "l2", "line").count().groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
     clash = materialize(clash, "clashes")
     row = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "th")
-    again = chunk_rows(docs, solo_words).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("keeper")).where("n > 1")
+    again = chunk_rows(docs, solo_words, hashed).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("keeper")).where("n > 1")
     for x, y in (KEY[:2], KEY[2:]):
         again = again.join(clash, (F.col(x) == F.col("l1")) & (F.col(y) == F.col("l2")), "left_anti")
     return again.select(*KEY, "keeper")
 
 
-def dedup_lines(docs: DataFrame, solo_words: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, solo_words: int = 40, hashed: Hash = hash_pair) -> DataFrame:
     """The input's columns with the text less its repeated chunks, plus lines_removed, a row per input row."""
-    again = materialize(repeated_chunks(docs, solo_words), "chunks")
-    found = chunk_rows(docs, solo_words).join(again, KEY)
+    row, th, cuts_of = unused(docs, "__id", "__th", "__cuts")
+    again = materialize(repeated_chunks(docs, solo_words, hashed), "chunks")
+    found = chunk_rows(docs, solo_words, hashed).join(again, KEY)
     keeps = (F.coalesce("doc_id", F.lit(LAST)) == F.col("keeper.id")) & (F.col("th") == F.col("keeper.th"))
     # the keeper keeps the first occurrence; its later ones go as well
     mark = F.struct("first", "after", F.when(keeps, F.col("a1")).alias("kept1"), F.when(keeps, F.col("a2")).alias("kept2"))
-    cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias("__cuts"))
-    cuts = cuts.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("th").alias("__th"), "__cuts")
-    base = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64("text").alias("__th"))
-    marked = base.join(cuts.hint("shuffle_hash"), ["__id", "__th"], "left")
+    cuts = found.groupBy("doc_id", "th").agg(F.collect_set(mark).alias(cuts_of))
+    cuts = cuts.select(F.coalesce("doc_id", F.lit(LAST)).alias(row), F.col("th").alias(th), cuts_of)
+    base = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias(row), F.xxhash64("text").alias(th))
+    marked = base.join(cuts.hint("shuffle_hash"), [row, th], "left")
 
     others = [c for c in docs.columns if c not in ("text", "lines_removed")]
     at = [c for c in docs.columns if c != "lines_removed"].index("text")
-    schema = docs.select(*others).schema.add("text", "string").add("lines_removed", "long")
+    plain = [F.col(f"`{c}`") for c in others]
+    schema = docs.select(*plain).schema.add("text", "string").add("lines_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +144,8 @@ def dedup_lines(docs: DataFrame, solo_words: int = 40) -> DataFrame:
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*others, "text", "lines_removed"])
 
-    out = marked.select(*others, "text", "__cuts").mapInArrow(run, schema)
-    return out.select(*others[:at], "text", *others[at:], "lines_removed")
+    out = map_rows(marked.select(*plain, "text", cuts_of), run, schema)
+    return out.select(*plain[:at], "text", *plain[at:], "lines_removed")
 
 
 def cut(text: str | None, marks: list[dict] | None) -> tuple[str | None, int]:

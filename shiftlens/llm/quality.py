@@ -8,8 +8,9 @@ lie on fixed grids, so sums are exact and a fit does not depend on how rows are
 other folds; pooled adjacent violators over those scores, binned on a grid, give the
 calibration curve from score to the chance of label 1.
 
-Labels are used of rows whose crc32 of the doc_id (as text) modulo 4 is not 2 only.
-All such rows are used: nothing is sampled.
+Labels are used of rows whose crc32 of the doc_id (as text) modulo 4 is not 2 only, of
+at most ``MOST_LABELS`` ids (those with the smallest hashes), which bounds what is
+broadcast to the texts; every row of those ids teaches.
 
 Defined results: null text counts as empty; an empty text is scored like any other; of
 several labels of a doc_id the largest counts; null labels and ids teach nothing;
@@ -29,13 +30,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import map_rows, materialize
 
 FEATURES = 256
 SEED = 20_240_229
 FOLDS = (0, 1, 3)
 HELD_OUT = 2
 ACCEPT = 0.7
+#: So many labelled ids at most are learned from; a row of them is under 50 bytes.
+MOST_LABELS = 200_000
 RIDGE = 3e-4
 BINS = 512
 #: Grids of the statistics, of the features, and of the draw; on them products and their sums are exact doubles.
@@ -143,11 +146,16 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, SIZE)
 
 
-def fit(feats: DataFrame, labels: DataFrame) -> Model:
-    """Fit on all labelled rows that are not held out."""
+def known_labels(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """doc_id, y and fold of the labels to learn from, at most so many."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     known = known.withColumn("fold", remainder(F.col("doc_id")).cast("int")).where(F.col("fold") != HELD_OUT)
-    train = materialize(feats.join(known, "doc_id").select("x", "y", "fold"), "quality-train")
+    return materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "quality-labels")
+
+
+def fit(feats: DataFrame, known: DataFrame) -> Model:
+    """Fit on all rows (doc_id, x) that have a label."""
+    train = materialize(feats.join(F.broadcast(known), "doc_id").select("x", "y", "fold"), "quality-train")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SIZE + 2)
@@ -238,7 +246,7 @@ def isotonic(x: list[float], ones: list[float], n: list[float]) -> tuple[np.ndar
 def score_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, held_out, score and predicted, a row per document."""
     feats = materialize(features(docs), "quality-features")
-    model = fit(feats, labels)
+    model = fit(feats, known_labels(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,8 +258,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The documents that the classifier accepts; the input's columns. Texts are not shuffled."""
-    model = fit(materialize(features(docs), "quality-features"), labels)
+    """The documents that the classifier accepts; the input's columns.
+
+    Texts are not shuffled; for the fit, only those with a label are worked on.
+    """
+    known = known_labels(labels)
+    labelled = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    model = fit(features(labelled), known)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,4 +272,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Dat
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float32).reshape(-1, SIZE).astype(np.float64)
             yield batch.filter(pa.array(model.score(x) >= accept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

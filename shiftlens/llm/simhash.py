@@ -30,9 +30,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import delete, materialize, write_table
+from . import near_copies
+from .common import materialize
+from .groups import components, keep_least
 
 BITS = 64
 #: Cost of a candidate pair against that of a probe row.
@@ -191,31 +193,6 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return left.join(right, close).select("a", "b").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """node and root, for every node with a link: the smallest node that it reaches."""
-    spark = pairs.sparkSession
-    edges, path = write_table(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "links")
-
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    state = mark(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).where("u != v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        new, new_path = write_table(small.unionByName(small_least.select("u", F.col("w").alias("v"))).where("u != v").distinct(), "links")
-        new_state = mark(new)
-        delete(spark, path)
-        edges, path = new, new_path
-        if new_state == state:
-            break
-        state = new_state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def classify(docs: DataFrame, width: int, distance: int) -> DataFrame:
     """doc_id, th (a hash of the text), fp, component (a fingerprint) and component_id, a row per document."""
     prints = materialize(fingerprints(docs, width), "fingerprints")
@@ -231,19 +208,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     return classify(docs, width, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, distance: int | None = 3) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; the input's columns.
 
-    Rows that share that id go by the hash of their text, and of wholly repeated rows one stays.
+    Rows that share that id go by the hash of their text, and of wholly repeated rows one
+    stays. Without a ``distance`` documents are linked by the similarity of their shingle
+    sets, 0.8 or more, for which no distance of 64 bits that can be searched stands (see
+    ``near_copies``).
     """
-    return keep_least(docs, classify(docs, width, distance))
-
-
-def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of each component of ``found`` (doc_id, th, component) the row of ``docs`` that keep_one keeps."""
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("of"))
-    chosen = chosen.select(F.coalesce("of.doc_id", F.lit(0)).alias("__id"), F.col("of.none").alias("__none"), F.col("of.th").alias("__th"))
-    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), docs["doc_id"].isNull().alias("__none"), F.xxhash64("text").alias("__th"))
-    kept = rows.join(chosen.hint("shuffle_hash"), ["__id", "__none", "__th"], "left_semi")
-    same = Window.partitionBy("__id", "__none", "__th").orderBy("__th")
-    return kept.withColumn("__row", F.row_number().over(same)).where("__row = 1").select(*docs.columns)
+    return keep_least(docs, near_copies.classify(docs, width) if distance is None else classify(docs, width, distance))

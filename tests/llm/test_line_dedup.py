@@ -67,6 +67,34 @@ def test_a_hash_of_two_texts_removes_nothing():
     assert line_dedup.cut("a\nb\na\nb", [{"first": 0, "after": 2, "kept1": 1, "kept2": 1}, {"first": 2, "after": 4, "kept1": 1, "kept2": 1}]) == ("a\nb", 2)
 
 
+def weak_hash(data):
+    """A real collision: the lines "left" and "right" share their hash."""
+    return (7, 7) if data in (b"left", b"right") else line_dedup.hash_pair(data)
+
+
+def test_lines_whose_hash_stands_for_two_texts_are_left_alone(spark):
+    rows = [(1, "a\nleft\nb\nc\nd"), (2, "a\nright\nb\nc\nd"), (3, "x\nleft\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, hashed=weak_hash).collect()}
+    assert got == {1: rows[0][1], 2: "a\nright", 3: rows[2][1]}  # b, c, d repeat; "a, left" is not "a, right"
+
+
+def test_chunks_by_their_definition():
+    long = "w " * 40
+    for text, want in (("", []), ("a", []), ("a\nb", [(0, 2)]), ("a\nb\n", [(0, 2), (1, 3)]), (long, [(0, 1)]), (f"a\n{long}", [(0, 2), (1, 2)]), ("w " * 39, [])):
+        assert line_dedup.chunks(text) == want
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    names = ["__id", "__th", "__cuts", "___id", "first", "after", "a1", "keeper", "th", "l1", "a.b"]
+    docs = spark.createDataFrame([(k, "p\nq\nr" if k else "p\nq\ns", *(10 * k + i for i in range(len(names)))) for k in range(3)], ["doc_id", "text", *names])
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "lines_removed"]
+    others = [f"`{n}`" for n in ("doc_id", *names)]
+    assert sorted(map(tuple, out.select(*others).collect())) == sorted(map(tuple, docs.select(*others).collect()))
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "p\nq\ns", 1: "r", 2: ""}
+
+
 def repeated_runs(rows):
     """Brute force over runs: the lines of every run of two or more lines that some earlier place has as well."""
     places = [(k, i) for k, (_, text) in enumerate(rows) for i in range(len(text.split("\n")))]

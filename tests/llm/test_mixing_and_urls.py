@@ -80,6 +80,10 @@ def test_urls_equal_brute_force(spark):
     pages = spark.createDataFrame([(i % 150, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = sorted(map(str, (tuple(r) for r in url_filter.judge_urls(pages, url_filter.rules_frame(spark, rules)).collect())))
     assert got == sorted(str((i % 150, *plain_url(u, rules))) for i, u in enumerate(urls))
+    deep = [(".".join(f"l{i}" for i in range(n, 0, -1)), "/" if n % 3 else "/x", "block" if n % 2 else "allow") for n in range(1, 13)]
+    some = [(i, f"http://{'s.' * (i % 2)}{h}/{'x' * (i % 3)}") for i, (h, _, _) in enumerate(deep * 4)] + [(100 + i, f"http://n{i}.l2.l1/") for i in range(40)]
+    got = sorted(map(str, (tuple(r) for r in url_filter.judge_urls(spark.createDataFrame(some, "page_id long, url string"), url_filter.rules_frame(spark, deep)).collect())))
+    assert got == sorted(str((i, *plain_url(u, deep))) for i, u in some)
     none = url_filter.judge_urls(pages, url_filter.rules_frame(spark, ()), default="block").collect()
     assert len(none) == len(urls) and all(r.rule is None and r.verdict == "block" for r in none)
     assert url_filter.judge_urls(pages.limit(0), url_filter.rules_frame(spark)).count() == 0

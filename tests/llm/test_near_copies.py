@@ -44,8 +44,8 @@ def test_stage_equals_brute_force_by_shingle_similarity(spark):
 def test_edge_rows(spark):
     text = "the quick brown fox jumps over the lazy dog"
     docs = spark.createDataFrame([(3, text), (3, text.upper()), (None, text), (9, None), (8, ""), (None, "alone here")], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in near_copies.keep_one(docs).collect()) == ["3", "8", "None"]
-    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs, 5, None).collect()) == ["3", "8", "None"]
+    assert simhash.keep_one(docs.limit(0), 5, None).count() == 0
 
 
 def test_sketches_bound_the_difference():

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -8,7 +9,8 @@ from shiftlens.llm.common import table
 
 from .test_line_dedup import plain as plain_lines
 from .test_mixing_and_urls import plain_mix
-from .test_simhash import plain_components, plain_fingerprint
+from .test_near_copies import plain_set, similarity
+from .test_simhash import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,8 +38,8 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark):
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
     one = stages["near_dedup"](spark, lined, SF).persist()
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in lined.collect()}
-    roots = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    sets = {r.doc_id: plain_set(r.text) for r in lined.collect()}
+    roots = plain_components(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
     assert one.columns == docs.columns and rows(one, "doc_id") == sorted(((i,) for i in set(roots.values())), key=str)
 
     clean = stages["decontamination"](spark, one, SF).persist()
@@ -62,3 +64,20 @@ def test_stages_on_empty_and_odd_rows(spark):
         kept = simhash.keep_one(docs)
         assert kept.count() == (2 if docs is odd else 0)
         assert corpus_pipeline.mix_to_weights(spark, docs, SF).count() == (1 if docs is odd else 0)
+
+
+def test_run_leaves_only_its_result_behind(spark, tmp_path, monkeypatch):
+    from shiftlens.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path))
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    docs = [(i, words(rng.randint(1, 60)), "en", rng.choice("ab"), 1) for i in range(60)]
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    rows = {"documents": docs, "labels": [(i, int(i % 2), 0) for i in range(60)], "benchmark": [(1, words(30))]}
+    for name, schema in schemas.items():
+        spark.createDataFrame(rows[name], schema).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    out.count()
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name != "in")
+    assert left == ["stage-mixing"]

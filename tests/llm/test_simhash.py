@@ -3,7 +3,7 @@ import re
 
 from xxhash import xxh64_intdigest
 
-from shiftlens.llm import simhash
+from shiftlens.llm import groups, simhash
 
 
 def plain_fingerprint(text):
@@ -59,7 +59,7 @@ def test_links_and_components_equal_brute_force(spark):
     got = {tuple(r) for r in simhash.links(df).collect()}
     assert got == {(a, b) for a in fps for b in fps if a < b and near(a, b)}
     want = plain_components(sorted(fps), near)
-    roots = dict(map(tuple, simhash.components(simhash.links(df)).collect()))
+    roots = dict(map(tuple, groups.components(simhash.links(df)).collect()))
     assert {n: roots.get(n, n) for n in fps} == want
 
 
@@ -75,3 +75,13 @@ def test_query_edge_rows(spark):
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    names = ["__id", "__none", "__th", "__row", "___id", "component", "th", "fp", "cls", "a.b", "node"]
+    docs = spark.createDataFrame([(k, text if k < 2 else f"something else altogether {k}", *(10 * k + i for i in range(len(names)))) for k in range(4)], ["doc_id", "text", *names])
+    for distance in (3, None):
+        kept = simhash.keep_one(docs, 3, distance)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 1)
