@@ -5,38 +5,24 @@ The "new" snapshot is a fixed perturbation of the old one, written alike in both
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions import text
 from shiftlens.operators import align, cells, repro
 from shiftlens.plans.compare import compare, split_headers
 from shiftlens.plans.options import TOP
-from shiftlens.plans.render import summary_frame
+from shiftlens.plans.refusal import Refused
+from shiftlens.plans.render import summary_frame, to_dict
+from shiftlens.registry import ORACLES, QUERIES, load, registered
 from shiftlens.sources import ledger
-from shiftlens.sources.table import Table, fit_width, from_frame
+from shiftlens.sources.table import Table, fit_width, from_csv, from_frame
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from .file_queries import write_lines
 
 #: Numeric columns of the compared orders, in order.
 NUMERIC = cells.Columns([b"totalprice", b"custkey"], [1, 2], [1, 2])
 
 
-def registered(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def old_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("totalprice"), F.col("o_custkey").cast("double").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")
@@ -85,10 +71,9 @@ def diff_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(BASE + "select count(*) as cells, count(*) filter (contribution > 0) as changed, round(sum(contribution), 6) as total_change, round(max(abs(delta)), 6) as max_abs_delta from d")
 def diff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, changed cells, total and largest change."""
-    _, _, both = keyed(spark, sf_dir)
-    d = cells.long_cells(both, NUMERIC).withColumn("delta", F.col("y") - F.col("x"))
-    size = text.contribution(F.col("delta"), 1e-9)
-    return d.agg(F.count(F.lit(1)).alias("cells"), F.count_if(size > 0).alias("changed"), F.round(F.sum(size), 6).alias("total_change"), F.round(F.max(F.abs("delta")), 6).alias("max_abs_delta"))
+    old, new, both = keyed(spark, sf_dir)
+    t = cells.type_columns(both, old, new, NUMERIC, 1e-9)
+    return spark.createDataFrame([(t.rows * len(t.numeric), t.changed, round(t.total, 6), round(t.largest, 6))], "cells long, changed long, total_change double, max_abs_delta double")
 
 
 @registered(
@@ -101,15 +86,10 @@ def diff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def diff_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least prefix of the largest changes that covers half of the total."""
-    found = changed(spark, sf_dir)
-    total = found.agg(F.sum("contribution")).first()[0]
-    by = Window.orderBy(F.desc("contribution"), "ord", "col")  # at most 25 rows
-    top = found.orderBy(F.desc("contribution"), "ord", "col").limit(TOP)
-    ranked = top.withColumn("rank", F.row_number().over(by)).withColumn("cum", F.sum("contribution").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.coalesce(F.lag("cum").over(by), F.lit(0.0))
-    kept = ranked.withColumn("before", before).where(F.col("before") / total < 0.5)
-    names = F.array(*(F.lit(n.decode()) for n in NUMERIC.names))
-    return kept.select(F.col("ord").cast("long").alias("k"), F.get(names, F.col("col")).alias("column"), "rank", F.round(F.col("contribution") / total, 9).alias("share"), F.round(F.col("cum") / total, 9).alias("cumulative_share"))
+    v = compare(spark, old_orders(spark, sf_dir).drop("status", "priority"), new_orders(spark, sf_dir).drop("status", "priority"), key="k", threshold=0.5)
+    found = to_dict(v)["contributors"]
+    rows = [(int(c["row_id"][3:]), c["column"][3:], rank, round(c["share"], 9), round(c["cumulative_share"], 9)) for rank, c in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "k long, column string, rank int, share double, cumulative_share double")
 
 
 @registered(BASE + 'select k, col as "column", ov as old, nv as new, delta, contribution from d where contribution > 0')
@@ -177,10 +157,18 @@ def row_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record with an empty key."""
     e = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 13, F.lit(" \t")).otherwise(F.col("event_id").cast("string")).alias("props"))
-    t = from_frame(e, "old", "event_id")
-    keys = align.keys_of(t, 1).where("k = ''").agg(F.min("row_ord").alias("at"))
-    numbered, _ = align.numbered(t)
-    return numbered.join(F.broadcast(keys), numbered["row_ord"] == keys["at"]).select(F.col("rec").alias("record"), F.lit("props").alias("column"))
+    d = key_refusal(e, 1)
+    return spark.createDataFrame([(d["record"], d["column"].decode())], "record long, column string")
+
+
+def key_refusal(df: DataFrame, key: int) -> dict:
+    """What the key check of a snapshot, against itself, refuses."""
+    t, same = from_frame(df, "old", "event_id"), from_frame(df, "new", "event_id")
+    try:
+        align.check_keys(t, same, key, key)
+    except Refused as r:
+        return r.detail
+    raise AssertionError("the keys are good")
 
 
 @registered(
@@ -189,11 +177,8 @@ def key_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def key_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record whose key was there before."""
-    t = from_frame(load(spark, sf_dir, "events").select("event_id", "user_id"), "old", "event_id")
-    numbered, _ = align.numbered(t)
-    nth = Window.partitionBy("key").orderBy("rec")
-    keys = numbered.select(F.col("rec"), text.trim(F.col("c1")).alias("key")).withColumn("nth", F.row_number().over(nth))
-    return keys.where("nth = 2").orderBy("rec").limit(1).select(F.col("rec").alias("record"), "key")
+    d = key_refusal(load(spark, sf_dir, "events").select("event_id", "user_id"), 1)
+    return spark.createDataFrame([(d["record"], d["key"].decode())], "record long, key string")
 
 
 @registered(
@@ -212,9 +197,13 @@ def key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "side string, total long, key string")
 
 
-@registered(
-    """select 'c_custkey' as "column", true as perfect union all select 'c_name', true"""
+STATS = " union all ".join(
+    f"select '{c}' as \"column\", {k} as place, count(*) as n, count(distinct trim(cast({c} as varchar), ' ' || chr(9))) as d, bool_or(coalesce(trim(cast({c} as varchar)), '') = '') as e from customer"
+    for k, c in enumerate(("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 )
+
+
+@registered(f'select "column", true as perfect from ({STATS}) where n = d and not e')
 def key_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that can serve as a key of both snapshots."""
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -223,7 +212,10 @@ def key_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k.name.decode(), k.perfect) for k in found], "column string, perfect boolean")
 
 
-@registered("select 'E_NEED_KEY' as code")
+@registered(
+    """with o as (select s_suppkey as k, s_acctbal as v, row_number() over (order by s_suppkey) as rec from supplier), n as (select k, v + case when k = 3 then 1 else 0 end as v, row_number() over (order by k desc) as rec from o)
+    select case when sum(abs(n.v - o.v)) > 1e-9 and bool_or(o.k <> n.k) and (select count(distinct k) = count(*) from o) then 'E_NEED_KEY' end as code from o join n on o.rec = n.rec"""
+)
 def shuffle_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reordered records under a perfect key: order can't align them."""
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -313,9 +305,10 @@ def audit_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("select c_custkey as k from customer where c_custkey % 5 <> 0")
 def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of blanks only are no records."""
-    blanked = F.when(F.col("c_custkey") % 5 == 0, F.lit(" \t ")).otherwise(F.col("c_custkey").cast("string"))
-    df = load(spark, sf_dir, "customer").select(blanked.alias("k"))
-    return df.where(~text.is_blank(F.col("k"))).select(F.col("k").cast("long").alias("k"))
+    blanked = F.when(F.col("c_custkey") % 5 == 0, F.lit(" \t ")).otherwise(F.concat_ws(",", F.col("c_custkey").cast("string"), F.lit("x")))
+    lines = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), blanked.alias("line"))
+    t = from_csv(spark, write_lines(spark, lines, "k,v"), "old")
+    return t.df.select(F.col("c0").cast("long").alias("k"))
 
 
 @registered("select line, a, b from (values ('1,2', '1', '2'), ('1', '1', ''), ('1,2,', '1', '2'), ('1,2, ', '1', '2')) v(line, a, b)")
@@ -334,15 +327,16 @@ def ident_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """select * from (select 'shared' as role, h as header from (values ('b'), ('c')) v(h) union all select 'old_only', 'd' union all select 'new_only', 'e')"""
+    """with o as (select unnest(list(r_name)) as h, 'old' as side from region where r_regionkey <> 0), n as (select unnest(list(r_name)) as h, 'new' as side from region where r_regionkey <> 1)
+    select case when o.h is null then 'new_only' when n.h is null then 'old_only' else 'shared' end as role, coalesce(o.h, n.h) as header from o full join n on o.h = n.h"""
 )
 def header_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers on both sides, and on one only, without the key."""
-    old, new = (from_frame(spark.createDataFrame([], ", ".join(f"{h} string" for h in names)), side) for names, side in (("abcd", "old"), ("caeb", "new")))
+    """Headers on both sides, and on one only."""
+    names = [r.r_name for r in load(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # 5 rows
+    old, new = (from_frame(spark.createDataFrame([], ", ".join(f"`{h}` string" for h in hs)), side) for side, hs in (("old", names[1:]), ("new", [names[0], *names[:1:-1]])))
     shared, old_only, new_only = split_headers(old.headers, new.headers)
     found = [("shared", [c[0] for c in shared]), ("old_only", old_only), ("new_only", new_only)]
-    rows = [(role, h.decode()) for role, names in found for h in names if h != b"a"]
-    return spark.createDataFrame(rows, "role string, header string")
+    return spark.createDataFrame([(role, h.decode()) for role, hs in found for h in hs], "role string, header string")
 
 
 def stand_in_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from shiftlens import queries
+from shiftlens import file_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
