@@ -328,7 +328,10 @@ def pack(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under a path. Predicates on header columns are pushed into the source."""
+    """The records under a path. Predicates on header columns are pushed into the source.
+
+    That needs the engine's option for it, which is set for the session, and stays set, as plans are made later.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
