@@ -8,12 +8,11 @@ import os
 import sys
 
 from shiftlens import doctor
-from shiftlens.plans.options import CompareOptions
+from shiftlens.plans import render
+from shiftlens.plans.options import CompareOptions, UsageError
 from shiftlens.plans.refusal import PROGRAM
 from shiftlens.plans.render import VERSION
-
-LEDGER = "SHIFTLENS_LEDGER"
-
+from shiftlens.sources import paths
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(PROGRAM, description="Explain the numeric change between two snapshots.")
@@ -32,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--explicit", action="store_true")
     p.add_argument("--json", action="store_true")
     p.add_argument("--capsule-dir")
-    p.add_argument("--ledger", default=os.environ.get(LEDGER, os.path.expanduser("~/.shiftlens/ledger.jsonl")))
+    p.add_argument("--ledger")
     p.add_argument("--no-ledger", action="store_true")
     return p
 
@@ -48,13 +47,13 @@ def ledger_command(args: list[str]) -> int:
 
     p = argparse.ArgumentParser(f"{PROGRAM} ledger")
     p.add_argument("what", choices=("query", "last", "count"))
-    p.add_argument("--path", default=os.environ.get(LEDGER, os.path.expanduser("~/.shiftlens/ledger.jsonl")))
+    p.add_argument("--path")
     for name in ("tool", "since", "until", "outcome", "input-hash"):
         p.add_argument(f"--{name}")
     p.add_argument("--limit", type=int, default=ledger.DEFAULT_LIMIT)
     p.add_argument("--json", action="store_true")
     a = p.parse_args(args)
-    df = ledger.scan(session(), a.path)
+    df = ledger.scan(session(), a.path or paths.ledger_path())
     filters = {"tool": a.tool, "since": a.since, "until": a.until, "outcome": a.outcome, "input_hash": a.input_hash}
     if a.what == "count":
         n = ledger.count(df, **filters)
@@ -68,26 +67,42 @@ def ledger_command(args: list[str]) -> int:
     return 1 if a.what == "last" and not rows else 0
 
 
+def doctor_command(args: list[str]) -> int:
+    """Read-only diagnostics; exit 1 if something is found, 2 if it can't be done."""
+    what = args[0] if args else "health"
+    if "--fix" in args:
+        print(f"{PROGRAM}: diagnostics change nothing; `doctor report` says what to do", file=sys.stderr)
+        return 2
+    if what == "docs":
+        print(doctor.guide(), end="")
+        return 0
+    try:
+        out = {"health": doctor.health, "capabilities": doctor.capabilities, "report": doctor.report, "triage": lambda: doctor.triage(*args[1:2])}[what]()
+    except (KeyError, TypeError, ValueError):
+        print(f"{PROGRAM}: doctor health | capabilities | report | docs | triage CODE", file=sys.stderr)
+        return 2
+    print(json.dumps(out, indent=1))
+    return int(what in ("health", "report") and not out["ok"])
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv[:1] == ["ledger"]:
         return ledger_command(argv[1:])
     if argv[:1] == ["doctor"]:
-        what = argv[1:2] or ["health"]
-        out = doctor.capabilities() if what == ["capabilities"] else doctor.triage(argv[2]) if what == ["triage"] else doctor.health()
-        print(json.dumps(out, indent=1))
-        return 0
-    if argv[:1] == ["--describe"]:
-        print(json.dumps(doctor.capabilities(), indent=1))
-        return 0
+        return doctor_command(argv[1:])
+    for flag, show in (("--describe", doctor.capabilities), ("--schema", render.json_schema)):  # before the arguments are looked at
+        if flag in argv:
+            print(json.dumps(show(), indent=1))
+            return 0
     a = parser().parse_args(argv)
-    from shiftlens.plans import capsule, compare, render
+    from shiftlens.plans import capsule, compare
     from shiftlens.sources import ledger
 
     try:
         options = CompareOptions(a.key, a.threshold, a.tolerance, a.delimiter, a.profile, a.profile_id, None, a.exhaustive, a.audit_fields, a.max_audit_changes, a.explicit)
         v = compare.compare(session(), a.old, a.new, options)
-    except ValueError as e:
+    except UsageError as e:
         print(f"{PROGRAM}: {e}", file=sys.stderr)
         return 2
     output = render.to_json(v) + "\n" if a.json else render.to_text(v)
@@ -98,12 +113,11 @@ def main(argv: list[str] | None = None) -> int:
         inputs = []
         for path in (a.old, a.new):
             if os.path.isfile(path):
-                with open(path, "rb") as f:
-                    data = f.read()
-                inputs.append({"path": path, "hash": ledger.digest(data), "bytes": len(data)})
+                found, size = ledger.file_digest(path)
+                inputs.append({"path": path, "hash": found, "bytes": size})
         params = {k: x for k, x in vars(a).items() if k in ("key", "threshold", "tolerance", "delimiter", "exhaustive", "audit_fields") and x is not None}
         try:
-            ledger.append(a.ledger, ledger.make_record(PROGRAM, VERSION, inputs, params, v.outcome, v.exit_code, output))
+            ledger.append(a.ledger or paths.ledger_path(), ledger.make_record(PROGRAM, VERSION, inputs, params, v.outcome, v.exit_code, output))
         except OSError as e:
             print(f"{PROGRAM}: ledger not written: {e}", file=sys.stderr)
     return v.exit_code

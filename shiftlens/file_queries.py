@@ -326,7 +326,7 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     """select * from (select 3 as n, 'NO REAL CHANGE' as line union all select 5, 'Compared: old -> new' union all select 6, 'Alignment: key=c_custkey' union all select 7, 'Columns: common=2 old_only=0 new_only=0'
     union all select 8, 'Checked: ' || format('{:,}', (select count(*) from customer)) || ' rows, 2 numeric columns (' || format('{:,}', (select 2 * count(*) from customer)) || ' cells)'
-    union all select 12, 'Max abs delta: 0 (<= tolerance 1e-9).')"""
+    union all select 12, 'Largest change: 0 (<= tolerance 1e-9).')"""
 )
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the text form that tell what was compared."""

@@ -9,6 +9,7 @@ import shutil
 from pathlib import Path
 
 from shiftlens.functions.formats import ident_json, shell_quote
+from shiftlens.sources.ledger import file_digest
 from shiftlens.sources.profile import render_profile
 
 from .compare import Verdict
@@ -34,12 +35,12 @@ def replay_command(v: Verdict, old: str, new: str, profile: str | None) -> str:
 def write_capsule(v: Verdict, output: str, folder: str) -> str | None:
     """Write the capsule of a comparison of two local files; None where a file can't be read or written."""
     try:
-        data = {s: Path(v.names[s]).read_bytes() for s in ("old", "new")}
-        stamp = hashlib.sha256(b"\0".join([data["old"], data["new"], output.encode(), repr(v.options).encode()])).hexdigest()
+        digests = [file_digest(v.names[s])[0] for s in ("old", "new")]
+        stamp = hashlib.sha256("\0".join([*digests, output, repr(v.options)]).encode()).hexdigest()
         root = Path(folder) / f"capsule-{stamp[:16]}"
         root.mkdir(parents=True, exist_ok=True)
-        for s, b in data.items():
-            (root / f"{s}.csv").write_bytes(b)
+        for s in ("old", "new"):
+            shutil.copyfile(v.names[s], root / f"{s}.csv")
         (root / "output.txt").write_text(output)
         profile = None
         if v.profile:
@@ -55,7 +56,7 @@ def write_capsule(v: Verdict, output: str, folder: str) -> str | None:
         command = replay_command(v, "old.csv", "new.csv", profile)
         (root / "replay.sh").write_text(f'#!/bin/sh\nset -u\ncd "$(dirname "$0")"\n{command}\n')
         os.chmod(root / "replay.sh", 0o755)
-        files = {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*")) if p.is_file() and p.name != "manifest.json"}
+        files = {str(p.relative_to(root)): file_digest(str(p))[0].removeprefix("sha256:") for p in sorted(root.rglob("*")) if p.is_file() and p.name != "manifest.json"}
         manifest = {"outcome": v.outcome, "key": None if v.key is None else ident_json(v.key), "replay": command, "sha256": files}
         (root / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True) + "\n")
         return str(root)

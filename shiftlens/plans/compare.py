@@ -15,7 +15,7 @@ from shiftlens.sources.profile import Profile, resolve
 from shiftlens.sources.shared import scratch
 from shiftlens.sources.table import Table, from_csv, from_frame
 
-from .options import TOP, CompareOptions
+from .options import TOP, CompareOptions, UsageError
 from .refusal import Refused
 
 COUNTS = (
@@ -64,7 +64,7 @@ def split_headers(old: list[bytes], new: list[bytes]) -> tuple[list[tuple[bytes,
 def compare(spark: SparkSession, old: Source, new: Source, options: CompareOptions | None = None, **kw: Any) -> Verdict:
     """Compare two snapshots, each a CSV path or a DataFrame.
 
-    A malformed key identifier or delimiter option raises ValueError; everything else
+    A malformed key identifier or delimiter option raises UsageError; everything else
     that stands in the way of a verdict is a refusal in the result.
     """
     options = replace(options or CompareOptions(), **kw)
@@ -89,13 +89,16 @@ def load(spark: SparkSession, source: Source, side: str, forced: str | None, pro
 
 def run(spark: SparkSession, old_source: Source, new_source: Source, v: Verdict) -> None:
     o = v.options
-    forced = delimiter_option(o.delimiter) if o.delimiter else None
+    try:
+        forced = delimiter_option(o.delimiter) if o.delimiter else None
+        flag = parse_identifier(o.key) if o.key is not None else None
+    except ValueError as e:
+        raise UsageError(str(e)) from e
     if o.audit_fields and not o.exhaustive:
         raise Refused("E_AUDIT_FIELDS_REQUIRES_EXHAUSTIVE")
     v.profile = profile = resolve(o.profile, o.profile_id, o.profile_dir)
     if o.audit_fields and profile is None:
         raise Refused("E_AUDIT_FIELDS_REQUIRES_PROFILE")
-    flag = parse_identifier(o.key) if o.key is not None else None
     if flag is not None and profile and profile.key:
         raise Refused("E_KEY_CONFLICT", {"key_flag": o.key, "profile_key": list(profile.key_labels)})
     v.key = key = flag if flag is not None else profile.key[0] if profile and profile.key else None

@@ -8,6 +8,10 @@ from dataclasses import dataclass
 TOP = 25
 
 
+class UsageError(ValueError):
+    """What the caller asked for can't be run at all; unlike a refusal it has no verdict."""
+
+
 @dataclass(frozen=True)
 class CompareOptions:
     key: str | None = None
@@ -24,8 +28,8 @@ class CompareOptions:
 
     def __post_init__(self) -> None:
         if not (math.isfinite(self.threshold) and 0 < self.threshold <= 1):
-            raise ValueError("threshold must be above 0 and at most 1")
+            raise UsageError("threshold must be above 0 and at most 1")
         if not (math.isfinite(self.tolerance) and self.tolerance >= 0):
-            raise ValueError("tolerance must be finite and not negative")
+            raise UsageError("tolerance must be finite and not negative")
         if self.max_audit_changes < 1:
-            raise ValueError("max_audit_changes must be at least 1")
+            raise UsageError("max_audit_changes must be at least 1")

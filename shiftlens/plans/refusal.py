@@ -123,7 +123,7 @@ class Refused(Exception):
             case "E_HEADERS" if d["issue"] == "duplicate":
                 return f'{who} has duplicate header "{one("name")}".'
             case "E_HEADERS":
-                return f"{who} data record {with_commas(d['record'])} has non-empty extra fields."
+                return f"{who} data record {with_commas(d['record'])} has more fields than the header."
             case "E_NO_KEY":
                 return f'key column "{one("key_column")}" not found in one or both files.'
             case "E_KEY_EMPTY":
@@ -135,12 +135,12 @@ class Refused(Exception):
                 line += f" missing samples: [{ids('missing_samples')}]." if d["missing_samples"] else ""
                 return line + (f" extra samples: [{ids('extra_samples')}]." if d["extra_samples"] else "")
             case "E_ROWCOUNT":
-                line = f"row count mismatch (old={with_commas(d['rows_old'])}, new={with_commas(d['rows_new'])})."
-                return line + (f" suggested keys: [{ids('suggested_keys')}]." if d["suggested_keys"] else "")
+                line = f"{with_commas(d['rows_old'])} records against {with_commas(d['rows_new'])}."
+                return line + (f" columns that can be keys: {ids('suggested_keys')}." if d["suggested_keys"] else "")
             case "E_NEED_KEY":
-                return f"suggested key candidates: [{ids('suggested_keys')}]." if d["suggested_keys"] else "detected a reorder under a perfect key candidate."
+                return f"the same records stand in another order; columns that can be keys: {ids('suggested_keys')}."
             case "E_DIALECT":
-                return f"{who} delimiter ambiguous among [{', '.join(byte_name(ord(x)) for x in d['tied_delimiters'])}]."
+                return f"{who} reads equally well with several delimiters: {', '.join(byte_name(ord(x)) for x in d['tied_delimiters'])}."
             case "E_AMBIGUOUS_PROFILE":
                 return f'both --profile "{d["profile_path"]}" and --profile-id "{d["profile_id"]}" were provided.'
             case "E_PROFILE_NOT_FOUND":

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions import formats as f
 
-from .compare import COUNTS, Verdict
+from .compare import COUNTS, METRICS, Verdict
 from .options import TOP
 from .refusal import PROGRAM
 
@@ -58,6 +58,52 @@ def to_json(v: Verdict) -> str:
     return json.dumps(to_dict(v), ensure_ascii=False, allow_nan=False)
 
 
+#: The JSON form's fields: name, type (``?`` may be null), and whether the field is always there.
+FIELDS = (
+    ("version", "string", True),
+    ("outcome", ("REAL_CHANGE", "NO_REAL_CHANGE", "REFUSAL"), True),
+    ("mode", ("exhaustive_numeric",), False),
+    ("profile_id", "string?", True),
+    ("profile_sha256", "string?", True),
+    ("files", {"old": "string", "new": "string"}, True),
+    ("alignment", {"mode": ("key", "row_order"), "key_column": "string?"}, True),
+    ("dialect", {"old": "object?", "new": "object?"}, True),
+    ("threshold", "number", True),
+    ("tolerance", "number", True),
+    ("counts", dict.fromkeys(COUNTS, "integer?"), True),
+    ("metrics", dict.fromkeys(METRICS, "number?"), True),
+    ("limits", {"max_contributors": "integer"}, True),
+    ("column_registry", {"reference": "string", "hash": "string"}, False),
+    ("audit", {"numeric_changes_emitted": "integer", "field_changes_emitted": "integer", "truncated": "boolean"}, False),
+    ("contributors", [({"row_id": "string", "column": "string", "share": "number", "cumulative_share": "number"}, dict.fromkeys(("old", "new", "delta", "contribution"), "number"))], True),
+    ("field_changes", [({"row_id": "string", "column": "string"}, {"old": "string", "new": "string"})], False),
+    ("refusal", "object?", True),
+)
+
+
+def json_schema() -> dict[str, Any]:
+    """A JSON Schema of what ``to_json`` gives, from the table of its fields."""
+
+    def of(kind: Any) -> dict[str, Any]:
+        if isinstance(kind, str):
+            return {"type": [kind[:-1], "null"] if kind.endswith("?") else kind}
+        if isinstance(kind, tuple):
+            return {"type": "string", "enum": list(kind)}
+        if isinstance(kind, dict):
+            return {"type": "object", "properties": {k: of(v) for k, v in kind.items()}, "required": list(kind)}
+        always, explicit = kind[0]
+        item = of(always)
+        return {"type": "array", "items": item | {"properties": item["properties"] | {k: of(v) for k, v in explicit.items()}}}
+
+    return {
+        "$schema": "https://json-schema.org/draft/2020-12/schema",
+        "title": VERSION,
+        "type": "object",
+        "properties": {name: of(kind) for name, kind, _ in FIELDS},
+        "required": [name for name, _, always in FIELDS if always],
+    }
+
+
 def summary_frame(spark: SparkSession, v: Verdict) -> DataFrame:
     """One row: the outcome, the counters and the metrics."""
     cells = [F.lit(v.outcome).alias("outcome"), F.lit(v.refusal.code if v.refusal else None).cast("string").alias("code")]
@@ -91,7 +137,7 @@ def to_text(v: Verdict) -> str:
         f"Columns: common={n(c['columns_common'])} old_only={n(c['columns_old_only'])} new_only={n(c['columns_new_only'])}",
         f"Checked: {n(c['rows_aligned'])} rows, {n(c['numeric_columns'])} numeric columns ({n(c['numeric_cells_checked'])} cells)",
         *dialect_lines(v),
-        "Ranking: abs(delta) (unscaled)",
+        "Ranked by: size of the change, not scaled",
         settings(v),
         "",
     ]
@@ -99,7 +145,7 @@ def to_text(v: Verdict) -> str:
     numbered = lambda x, k: f"{k}. {label(x)}  {f.signed(x.delta)}" + (f"  ({f.value(x.old)} -> {f.value(x.new)})" if v.options.explicit else "") if v.options.explicit else f"{k}. {label(x)}"
     tolerance = f.shortest(v.options.tolerance)
     if v.outcome == "NO_REAL_CHANGE":
-        lines += [f"Max abs delta: {f.shortest(v.metrics['max_abs_delta'] or 0.0)} (<= tolerance {tolerance}).", "No numeric deltas above tolerance in common numeric columns."]
+        lines += [f"Largest change: {f.shortest(v.metrics['max_abs_delta'] or 0.0)} (<= tolerance {tolerance}).", "No number in a common column changed by more than that."]
     elif v.options.exhaustive:
         lines += [f"{n(len(v.contributors))} numeric changes:", "", *(numbered(x, k) for k, x in enumerate(v.contributors, 1))]
         if v.field_changes is not None:
@@ -109,7 +155,7 @@ def to_text(v: Verdict) -> str:
         total = v.metrics["total_change"]
         shown = sum(x.contribution for x in v.contributors) / total
         few = len(v.contributors)
-        lines += [f"{few} {'cell' if few == 1 else 'cells'} explain {f.percent(shown)} of total numeric change (threshold {f.percent(v.options.threshold)}):", ""]
+        lines += [f"{f.percent(shown)} of the change is in {few} {'cell' if few == 1 else 'cells'} (asked for: {f.percent(v.options.threshold)}):", ""]
         lines += [numbered(x, k) for k, x in enumerate(v.contributors, 1)]
-        lines += ["", "Everything else in common numeric columns is within tolerance or in the tail."]
+        lines += ["", "All other numbers stayed within the tolerance or add the remaining share."]
     return "\n".join([PROGRAM.upper(), "", v.outcome.replace("_", " "), "", *lines]) + "\n"

@@ -25,6 +25,13 @@ def digest(data: bytes) -> str:
     return f"sha256:{hashlib.sha256(data).hexdigest()}"
 
 
+def file_digest(path: str) -> tuple[str, int]:
+    """The digest and size of a local file, read a block at a time."""
+    with open(path, "rb") as f:
+        found = hashlib.file_digest(f, "sha256").hexdigest()
+        return f"sha256:{found}", f.tell()
+
+
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 

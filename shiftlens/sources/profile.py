@@ -12,6 +12,8 @@ from pathlib import Path
 from shiftlens.functions.formats import parse_identifier
 from shiftlens.plans.refusal import Refused
 
+from .paths import profile_folder
+
 
 @dataclass(frozen=True)
 class Registry:
@@ -138,7 +140,7 @@ def find_profile(profile_id: str, folder: str | None) -> str:
     """A path wins; else the first frozen profile (id and hash both given) with that id."""
     if os.path.exists(profile_id):
         return profile_id
-    root = Path(folder or os.environ.get("SHIFTLENS_PROFILES") or Path.home() / ".shiftlens" / "profiles")
+    root = Path(folder) if folder else profile_folder()
     for p in sorted(root.glob("*.yaml")) if root.is_dir() else []:
         found = parse_profile(p.read_text())
         if found.profile_id == profile_id and found.sha256:

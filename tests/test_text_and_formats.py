@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -56,3 +57,64 @@ def test_shortest(x, want):
 
 def test_values():
     assert f.value(1234567.0) == "1,234,567" and f.signed(60) == "+60" and f.signed(-1.5) == "-1.5" and f.signed(0) == "+0" and f.percent(0.956) == "95.6%"
+
+
+def test_diagnostics(capsys):
+    import json
+
+    from shiftlens import cli
+    from shiftlens.plans import refusal
+
+    assert cli.main(["doctor"]) in (0, 1) and "checks" in json.loads(capsys.readouterr().out)
+    cli.main(["doctor", "report"])
+    assert {"ok", "findings", "capabilities"} <= set(json.loads(capsys.readouterr().out))
+    assert cli.main(["doctor", "docs"]) == 0
+    out = capsys.readouterr().out
+    assert all(code in out for code in refusal.REASONS)
+    assert cli.main(["doctor", "triage", "E_IO"]) == 0 and cli.main(["doctor", "triage"]) == 2 and cli.main(["doctor", "triage", "E_NONE"]) == 2
+    capsys.readouterr()
+    assert cli.main(["doctor", "--fix"]) == 2 and capsys.readouterr().out == ""
+    assert cli.main(["no", "such", "--describe"]) == 0
+
+
+def test_schema_names_the_fields_of_the_json_form(capsys):
+    import json
+
+    from shiftlens import cli
+    from shiftlens.plans.compare import Verdict
+    from shiftlens.plans.options import CompareOptions
+    from shiftlens.plans.render import to_dict
+
+    assert cli.main(["--schema"]) == 0
+    schema = json.loads(capsys.readouterr().out)
+    given = to_dict(Verdict("NO_REAL_CHANGE", CompareOptions(), {"old": "a", "new": "b"}))
+    assert set(schema["required"]) <= set(given) <= set(schema["properties"])
+    assert list(given["counts"]) == schema["properties"]["counts"]["required"]
+    shown = to_dict(Verdict("NO_REAL_CHANGE", CompareOptions(exhaustive=True), {"old": "a", "new": "b"}, field_changes=[]))
+    assert set(shown) <= set(schema["properties"])
+
+
+def test_digest_of_a_file(tmp_path):
+    from shiftlens.sources import ledger
+
+    (tmp_path / "f").write_bytes(b"x" * 300_000)
+    assert ledger.file_digest(str(tmp_path / "f")) == (ledger.digest(b"x" * 300_000), 300_000)
+
+
+def test_places_of_the_ledger_and_profiles(tmp_path, monkeypatch, capsys):
+    from shiftlens.sources import paths
+
+    monkeypatch.setenv("HOME", str(tmp_path))
+    for name in (paths.LEDGER, paths.PROFILES, paths.HOME):
+        monkeypatch.delenv(name, raising=False)
+    assert paths.ledger_path() == str(tmp_path / ".shiftlens" / "ledger.jsonl") and not capsys.readouterr().err
+    older = tmp_path / paths.OLDER[0]
+    (older / "profiles").mkdir(parents=True)
+    (older / "ledger.jsonl").write_text("{}\n")
+    (older / "profiles" / "a.yaml").write_text("profile_id: a\n")
+    for _ in range(2):  # the copy is made once
+        assert open(paths.ledger_path()).read() == "{}\n" and (paths.profile_folder() / "a.yaml").read_text() == "profile_id: a\n"
+    assert capsys.readouterr().err.count("copied") == 2
+    assert os.stat(paths.ledger_path()).st_mode & 0o777 == 0o600 and (paths.profile_folder()).stat().st_mode & 0o777 == 0o700
+    monkeypatch.setenv(paths.LEDGER, "/elsewhere")
+    assert paths.ledger_path() == "/elsewhere"
