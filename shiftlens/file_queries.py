@@ -9,17 +9,21 @@ import json
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shiftlens.cli import parser
 from shiftlens.functions import formats
-from shiftlens.operators import align
+from shiftlens.operators import align, repro
+from shiftlens.plans import capsule
 from shiftlens.plans.compare import Verdict, compare
+from shiftlens.plans.options import UsageError
 from shiftlens.plans.refusal import Refused
 from shiftlens.plans.render import summary_frame, to_dict, to_json, to_text
 from shiftlens.registry import load, registered
 from shiftlens.sources import dialect, ledger
-from shiftlens.sources.profile import Registry, parse_profile
+from shiftlens.sources.profile import Registry, parse_profile, registry_hash, render_profile, resolve
 from shiftlens.sources.shared import new_path
 from shiftlens.sources.table import from_csv
 
@@ -91,11 +95,10 @@ DIALECTS = (
 )
 def csv_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimiters and escape modes are found, named by the file's first line, or forced."""
-    nations = load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
     rows = []
     for case, c, _, backslash, lead, forced in DIALECTS:
         quote = '\\"' if backslash else '""'
-        lines = [c.join(("key", "name", "region")), *(c.join((str(n.n_nationkey), f'"{n.n_name} {quote}\nq"', str(n.n_regionkey))) for n in nations)]
+        lines = [c.join(("key", "name", "region")), *(c.join((str(n.n_nationkey), f'"{n.n_name} {quote}\nq"', str(n.n_regionkey))) for n in nations(spark, sf_dir))]
         path = write_bytes(spark, (lead + "\r\n".join(lines)).encode())
         t = from_csv(spark, path, "old", dialect.delimiter_option(forced) if forced else None)
         n, last = t.df.agg(F.count("c0"), F.max_by("c1", "row_ord")).first()
@@ -111,8 +114,8 @@ def csv_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def csv_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that can't be read exactly are refused, with what shows it."""
-    nations = load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
-    rows = [f"{n.n_nationkey},{n.n_name}" for n in nations]
+    table = nations(spark, sf_dir)
+    rows = [f"{n.n_nationkey},{n.n_name}" for n in table]
     body = lambda header, *lines: "\n".join([header, *lines]).encode()
     cases = {
         "duplicate": body("key, key ", *rows),
@@ -122,9 +125,9 @@ def csv_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "utf-16": body("key,name", *rows).decode().encode("utf-16"),
         "utf-32": body("key,name", *rows).decode().encode("utf-32"),
         "zero byte": body("key,name", *rows, "99,\0"),
-        "one column": body("name", *(n.n_name for n in nations)),
-        "two readings": body("a,b;c", *(f"{n.n_nationkey},1;2" for n in nations)),
-        "extra fields": b"sep=,\n" + body("key,name", *(f"{r},more" if n.n_nationkey == 7 else f"{r}, " for r, n in zip(rows, nations, strict=True))),
+        "one column": body("name", *(n.n_name for n in table)),
+        "two readings": body("a,b;c", *(f"{n.n_nationkey},1;2" for n in table)),
+        "extra fields": b"sep=,\n" + body("key,name", *(f"{r},more" if n.n_nationkey == 7 else f"{r}, " for r, n in zip(rows, table, strict=True))),
         "no file": None,
     }
     out = []
@@ -276,8 +279,7 @@ def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ledger_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's id is the digest of its canonical line; read back from a ledger."""
-    nations = load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
-    records = [ledger.make_record("t", "v", [{"path": n.n_name, "hash": "h", "bytes": n.n_nationkey}], {"key": "k"}, "NO_REAL_CHANGE", 0, n.n_name, "2024-01-01T00:00:00Z") for n in nations]
+    records = [ledger.make_record("t", "v", [{"path": n.n_name, "hash": "h", "bytes": n.n_nationkey}], {"key": "k"}, "NO_REAL_CHANGE", 0, n.n_name, "2024-01-01T00:00:00Z") for n in nations(spark, sf_dir)]
     found = ledger.scan(spark, write_bytes(spark, "".join(ledger.canonical(r) + "\n" for r in records).encode()))
     return found.select(F.col("inputs")[0]["path"].alias("output"), "id")
 
@@ -300,7 +302,7 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers given plain or as hex, and shown in the JSON and the text form."""
     rows = []
-    for n in load(spark, sf_dir, "nation").collect():  # 25 rows
+    for n in nations(spark, sf_dir):
         name = formats.parse_identifier(f"hex:{n.n_name.encode().hex().upper()}")
         rows.append((name.decode(), formats.ident_json(formats.parse_identifier(f"u8:{n.n_name}")), formats.ident_json(name + b"\0"), formats.ident_human(b"u8:" + name)))
     return spark.createDataFrame(rows, "name string, plain string, control string, human string")
@@ -347,3 +349,110 @@ def delimiter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     options = ("comma", "TAB", "Semicolon", "pipe", "caret", "0x1f", "~", "0x22", "0x80", "", "two")
     return spark.createDataFrame([(t, byte(t)) for t in options], "option string, byte int")
+
+
+def nations(spark: SparkSession, sf_dir: str) -> list:
+    return load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+
+
+def shared_folder(spark: SparkSession) -> Path:
+    """A folder that the driver and the executors reach as files."""
+    path = Path(new_path(spark, "files").removeprefix("file:"))
+    path.mkdir(parents=True)
+    return path
+
+
+@registered("""select n_name as input, 'N' || n_nationkey as canonical, 'p1' as profile_id, 'hex:' || lower(hex(encode('#' || n_name))) as key from nation where n_nationkey % 2 = 0""")
+def profile_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile found by its id, with a registry of column names; written out and read again it is the same."""
+    root, rows = shared_folder(spark), nations(spark, sf_dir)
+    registry = root / "registry"
+    registry.mkdir()
+    (registry / "registry.json").write_text("{}")
+    (registry / "_build.json").write_text("not read")
+    entry = lambda n, to: {"input": n.n_name, "canonical_id": to, "canonical_type": "column_name" if n.n_nationkey % 2 == 0 else "unit", "rule_id": "r"}
+    (registry / "a.json").write_text(json.dumps([entry(n, f"N{n.n_nationkey}") for n in rows]))
+    (registry / "b.json").write_text(json.dumps([entry(n, "a later mapping") for n in rows]))
+    out = []
+    (root / "0.yaml").write_text("profile_id: p1\n")  # without a hash: not frozen
+    for n in rows[::2]:
+        (root / "1.yaml").write_text(f"profile_id: p1\nprofile_sha256: sha256:0\ncolumn_registry: registry\nkey: [hex:{('#' + n.n_name).encode().hex()}]\n")
+        p = resolve(None, "p1", str(root))
+        again = parse_profile(render_profile(p))
+        assert (again.key, again.include, again.profile_id, again.sha256) == (p.key, p.include, p.profile_id, p.sha256)
+        out.append((n.n_name, p.registry.aliases[n.n_name.encode()].decode(), p.profile_id, f"hex:{again.key[0].hex()}"))
+        assert len(p.registry.aliases) == len(rows[::2])
+    return spark.createDataFrame(out, "input string, canonical string, profile_id string, key string")
+
+
+@registered(
+    """select n_name as name, 'sha256:' || sha256(encode(n_name) || '\\x00'::blob || encode(cast(length(n_name) + 2 as varchar)) || '\\x00'::blob || encode('[' || n_name || ']') || '\\xFF'::blob) as hash,
+    '''it''"''"''s ' || n_name || '''' as quoted, n_name as plain from nation"""
+)
+def registry_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of a registry's files, and words as a shell takes them."""
+    rows = [(n.n_name, registry_hash([(n.n_name, f"[{n.n_name}]".encode())]), formats.shell_quote(f"it's {n.n_name}"), formats.shell_quote(n.n_name)) for n in nations(spark, sf_dir)]
+    return spark.createDataFrame(rows, "name string, hash string, quoted string, plain string")
+
+
+@registered(
+    """with n as (select *, 1 + n_nationkey % 3 as g from nation), f as (select n_name, min(g) as g, min(n_nationkey) as k from n group by n_name)
+    select row_number() over (order by g, k) + 1 as place, n_name as "column" from f qualify row_number() over (order by g, k) <= 15 union all select 1, 'key'"""
+)
+def repro_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that show an outcome again: the key, then groups in turn, up to the limit."""
+    rows = nations(spark, sf_dir)
+    groups = [[n.n_name.encode() for n in rows if n.n_nationkey % 3 == g] for g in range(3)]
+    found = repro.select_columns(b"key", [[b"key"], *groups, groups[0]])
+    return spark.createDataFrame([(k, c.decode()) for k, c in enumerate(found, 1)], "place long, column string")
+
+
+@registered(
+    """select * from (values ('two profiles', 'E_AMBIGUOUS_PROFILE', 'profile_path'), ('no such profile', 'E_PROFILE_NOT_FOUND', 'profile_id'), ('two keys', 'E_KEY_CONFLICT', 'key_flag'), ('fields only', 'E_AUDIT_FIELDS_REQUIRES_EXHAUSTIVE', ''),
+    ('fields of all', 'E_AUDIT_FIELDS_REQUIRES_PROFILE', ''), ('no such key', 'E_NO_KEY', 'key_column'), ('bad key', 'usage', ''), ('bad delimiter', 'usage', '')) v("case", code, detail)
+    union all select 'other rows', 'E_ROWCOUNT', 'rows_new=' || count(*) from nation where n_nationkey <> 3"""
+)
+def option_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that don't go together, and inputs that can't be aligned."""
+    n = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    with profile_file("key: [n_nationkey]\n") as path:
+        cases = {
+            "two profiles": dict(profile=path, profile_id="p"),
+            "no such profile": dict(profile_id="no such profile"),
+            "two keys": dict(profile=path, key="n_nationkey"),
+            "fields only": dict(profile=path, audit_fields=True),
+            "fields of all": dict(audit_fields=True, exhaustive=True),
+            "no such key": dict(key="hex:00"),
+            "bad key": dict(key="hex:0"),
+            "bad delimiter": dict(delimiter="two"),
+        }
+        rows = []
+        for case, options in cases.items():
+            try:
+                r = compare(spark, n, n, **options).refusal
+                rows.append((case, r.code, next(iter(r.detail), "")))
+            except UsageError:
+                rows.append((case, "usage", ""))
+        r = compare(spark, n, n.where("n_nationkey != 3")).refusal
+        rows.append(("other rows", r.code, f"rows_new={r.detail['rows_new']}"))
+    return spark.createDataFrame(rows, "case string, code string, detail string")
+
+
+@registered(
+    """select 'REAL_CHANGE' as outcome, 'REAL_CHANGE' as replayed, cast(10 * count(*) filter (n_nationkey % 5 = 2) as double) as total_change, 'manifest.json new.csv old.csv output.txt profile.yaml replay.sh' as files,
+    '--key' as with_key from nation"""
+)
+def capsule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capsule of a comparison, run again from its own files."""
+    root, rows = shared_folder(spark), nations(spark, sf_dir)
+    for side, bump in (("old", 0), ("new", 10)):
+        (root / f"{side}.csv").write_text("\n".join(["key,region", *(f"{n.n_nationkey},{n.n_regionkey + bump * (n.n_nationkey % 5 == 2)}" for n in rows)]))
+    (root / "p.yaml").write_text("include_columns: [region]\n")
+    v = compare(spark, str(root / "old.csv"), str(root / "new.csv"), key="key", profile=str(root / "p.yaml"), threshold=0.9)
+    made = Path(capsule.write_capsule(v, to_text(v), str(root / "capsules")))
+    command = json.loads((made / "manifest.json").read_text())["replay"].split()
+    a = parser().parse_args([str(made / x) if x.endswith((".csv", ".yaml")) else x for x in command[3:]])
+    again = compare(spark, a.old, a.new, key=a.key, profile=a.profile, threshold=a.threshold, tolerance=a.tolerance)
+    assert to_text(again).split("\n")[4:] == (made / "output.txt").read_text().split("\n")[4:]
+    row = (v.outcome, again.outcome, again.metrics["total_change"], " ".join(sorted(p.name for p in made.iterdir())), command[command.index("--key")])
+    return spark.createDataFrame([row], "outcome string, replayed string, total_change double, files string, with_key string")
