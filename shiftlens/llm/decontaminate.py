@@ -37,7 +37,7 @@ Q = 10
 RATE = 0.08
 PIECE = 1 << 20
 #: Characters of items a block, and of texts that go through the blocks at a time.
-BLOCK_CHARS, TEXT_CHARS = 2_000_000, 32_000_000
+BLOCK_CHARS, TEXT_CHARS = 2_000_000, 4_000_000
 SLOTS = 22
 BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, item_id long, first long, after long, edits int"
@@ -70,6 +70,15 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+Hashed = tuple[np.ndarray, np.ndarray]
+
+
+def hash_text(text: str, q: int) -> Hashed:
+    """The text's characters and the hashes of its q-grams."""
+    c = codes(text)
+    return c, gram_hashes(c, q)
+
+
 def budget(n: int, q: int = Q, rate: float = RATE) -> int:
     """Edits allowed for an item of n characters; the q-gram bound stays at least 1."""
     return max(0, min(int(rate * n), (n - q) // q))
@@ -133,9 +142,8 @@ class Index:
     def text(self, k: int) -> str:
         return self.codes[k].tobytes().decode("utf-32-le", "surrogatepass")
 
-    def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """(item, lowest diagonal) of the bands that share enough q-grams with the text."""
-        h = gram_hashes(c, self.q)
+    def bands(self, c: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+        """(item, lowest diagonal) of the bands that share enough q-grams with the text, given its q-grams' hashes."""
         if not self.least or not len(h):
             return []
         p = np.flatnonzero(self.slots[h >> np.uint64(64 - SLOTS)])
@@ -200,12 +208,12 @@ class Index:
         cost, start = divmod(int(row[k]), 1 << 40)
         return (cost, start, lo + len(pattern) + k) if cost <= e else None
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str, hashed: Hashed | None = None) -> list[tuple[int, int, int, int]]:
         """(item, first, after, edits) in a normalised text; of overlapping places of an item the best."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         for off in range(0, max(1, len(text)), PIECE):
-            c = codes(text[off : off + PIECE + 2 * self.span])
-            for item, low in self.bands(c):
+            c, h = hashed or hash_text(text[off : off + PIECE + 2 * self.span], self.q)
+            for item, low in self.bands(c, h):
                 if got := self.align(c, item, low):
                     found.setdefault(item, []).append((got[0], got[1] + off, got[2] + off))
         for k in self.short:
@@ -267,13 +275,17 @@ def write_index(benchmark: DataFrame, q: int = Q, rate: float = RATE, block_char
     return sorted(f"{folder}/{r['name']}" for r in dealt.groupBy("block").applyInPandas(build, "name string").collect())
 
 
-def portions(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batches in pieces of about TEXT_CHARS characters, with their normalised texts."""
+def portions(batches: Iterator[pa.RecordBatch], at: int, q: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, Hashed | None]]]]:
+    """The batches in pieces of about TEXT_CHARS characters, with their normalised texts.
+
+    Texts that are one piece come with their hashes, so that these serve all blocks.
+    """
     for batch in batches:
         begin, texts, size = 0, [], 0
         for k, cell in enumerate(batch.column(at)):
-            texts.append(normalise(cell.as_py()))
-            size += len(texts[-1])
+            text = normalise(cell.as_py())
+            texts.append((text, hash_text(text, q) if len(text) <= PIECE else None))
+            size += len(text)
             if size >= TEXT_CHARS or k == len(batch) - 1:
                 yield batch.slice(begin, k + 1 - begin), texts
                 begin, texts, size = k + 1, [], 0
@@ -284,12 +296,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     paths = write_index(benchmark, q, rate, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in portions(batches, 1):
+        for batch, texts in portions(batches, 1, q):
             ids = batch.column(0).to_pylist()
             for path in paths:
                 index, out = index_of(path), []
-                for doc_id, text in zip(ids, texts, strict=True):
-                    for i, a, b, n in index.matches(text):
+                for doc_id, (text, hashed) in zip(ids, texts, strict=True):
+                    for i, a, b, n in index.matches(text, hashed):
                         out += [(doc_id, index.ids[i], a, b, n)] * int(index.times[i])
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.int32()]
@@ -304,11 +316,11 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     paths = write_index(benchmark, q, rate, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in portions(batches, at):
+        for batch, texts in portions(batches, at, q):
             clean = [True] * len(texts)
             for path in paths:
                 index = index_of(path)
-                clean = [c and not index.matches(t) for c, t in zip(clean, texts, strict=True)]
+                clean = [c and not index.matches(*t) for c, t in zip(clean, texts, strict=True)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return map_rows(docs, run, docs.schema)
