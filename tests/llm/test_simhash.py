@@ -85,3 +85,18 @@ def test_columns_that_clash_keep_their_values(spark):
         kept = simhash.keep_one(docs, 3, distance)
         assert kept.columns == docs.columns
         assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 1)
+
+
+def test_one_of_wholly_repeated_rows_stays_on_either_path(spark, monkeypatch):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(12))
+    rows = [(k % 7 if k % 5 else None, words(k % 9), "x" if k % 2 else "y") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = {}
+    for i, text, _ in rows:
+        least[text] = min(least.get(text, (True, 0)), (i is None, i or 0))
+    want = sorted(((None if none else i), text) for text, (none, i) in least.items())
+    for bound in (300_000, 0):
+        monkeypatch.setattr(groups, "BROADCAST_ROWS", bound)
+        for distance in (3, None):
+            kept = simhash.keep_one(docs, 5, distance)
+            assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
