@@ -18,6 +18,7 @@ with the lines that end its last record taken from the splits after it.
 
 from __future__ import annotations
 
+import csv
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
@@ -305,8 +306,10 @@ def quoted_records(spark: SparkSession, path: str, chosen: d.Dialect, sep: str |
                 continue
             if split not in quoted:
                 raise ValueError(f"{path}: its splits changed between two passes")
-            is_open = step(line, is_open)
-            if not skip:
+            began, is_open = is_open, step(line, is_open)
+            if not (began or is_open or chosen.backslash or "\r" in line):
+                yield line, next(csv.reader((line,), delimiter=chosen.delimiter))  # a record by itself; the same cells, faster
+            elif not skip:
                 held.append(line)
                 if not is_open:
                     yield from flush()
@@ -318,17 +321,19 @@ def quoted_records(spark: SparkSession, path: str, chosen: d.Dialect, sep: str |
             yield from flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = []
+        csv.field_size_limit(2**31 - 1)
+        rows: list[tuple] = []
         for split, lines in by_split(batches):
             for raw, f in cut(split, lines):
-                wide = len(f) > n
-                rows.append([*f[:n], *[""] * (n - len(f)), wide and not d.blank(f[n:]), d.blank(f), is_lead(raw, f, chosen, sep)])
+                void = d.blank(f)
+                lead = (void or sep is not None) and is_lead(raw, f, chosen, sep)
+                rows.append((*f, False, void, lead) if len(f) == n else (*f[:n], *[""] * (n - len(f)), not d.blank(f[n:]), void, lead))
                 if len(rows) >= 20_000:
                     yield pack(rows)
                     rows = []
         yield pack(rows)
 
-    def pack(rows: list[list]) -> pa.RecordBatch:
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

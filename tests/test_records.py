@@ -1,5 +1,6 @@
 """Records keep their places, and a file with quotes reads alike however it is split."""
 
+import csv
 import random
 from contextlib import contextmanager
 
@@ -115,3 +116,13 @@ def test_line_steps_equal_the_whole_text():
             # a field is open at the end if and only if a closing quote makes a difference to it
             ends = [end for end, _ in d.records(text + "\n#,#\n", ",", b)]
             assert is_open == (not ends or [f for _, f in d.records(text + "\n#,#\n", ",", b)][-1] != ["#", "#"]), (text, b)
+
+
+def test_single_lines_read_alike_by_the_fast_way():
+    rng = random.Random(6)
+    for delimiter in (",", "\x01", " "):
+        step = d.field_tracker(delimiter, False)
+        for _ in range(6000):
+            line = "".join(rng.choice(['"', '"', delimiter, "a", " ", "\\", '""', "\t", "'"]) for _ in range(rng.randint(1, 12)))
+            if '"' in line and not step(line, False):
+                assert [next(csv.reader((line,), delimiter=delimiter))] == [f for _, f in d.records(line + "\n", delimiter, False)]
