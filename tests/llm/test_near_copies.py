@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from shiftlens.llm import near_copies, simhash
 
@@ -19,7 +22,7 @@ def corpus(rng):
     """Texts with copies at similarities on both sides of 0.8, and a large group of them."""
     texts = [None, "", " ", "a few words", "A few words", "another few words"]
     for group, size in [*((g, 4) for g in range(25)), ("large", 60)]:
-        base = [f"{group}w{rng.randrange(400)}" for _ in range(rng.randint(8, 120))]
+        base = [f"{group}w{rng.randrange(900)}" for _ in range(rng.randint(8, 120) if group != 7 else 700)]
         common = "this line is in most of the texts word for word".split()
         for _ in range(size):
             words = list(base)
@@ -48,9 +51,26 @@ def test_edge_rows(spark):
     assert simhash.keep_one(docs.limit(0), 5, None).count() == 0
 
 
-def test_sketches_bound_the_difference():
+def bits_apart(x, y):
+    return sum(((int(a) ^ int(b)) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True))
+
+
+def test_sketches_bound_the_difference(spark):
     rng = random.Random(8)
-    for _ in range(200):
-        a, b = (near_copies.shingle_set(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))) for _ in range(2))
-        bits = sum((int(x) ^ int(y)).bit_count() if (x ^ y) >= 0 else ((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(near_copies.parity(a), near_copies.parity(b), strict=True))
-        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+    rows = []
+    for k in range(120):
+        words = [rng.choice("abc") * rng.randint(1, 9) for _ in range(rng.choice([5, 90, 300, 700, 1500]))]
+        other = [w if rng.random() < 0.98 else "new" for w in words] + ["tail"] * rng.randint(0, len(words) // 5)
+        a, b = (near_copies.shingle_set(" ".join(w)) for w in (words, other if k % 2 else words[::-1]))
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        assert bits_apart(near_copies.parity(a), near_copies.parity(b)) <= differ
+        x, y = near_copies.long_parity(a), near_copies.long_parity(b)
+        assert len(x) in (0, len(y), 2 * len(y), len(y) // 2) or not len(y)
+        if len(x) == 2 * len(y) or len(x) and len(x) == len(y):
+            folded = x[: len(y)] ^ x[len(y) :] if len(x) > len(y) else x
+            assert bits_apart(folded, y) <= differ
+        rows.append((k, x.tolist(), y.tolist(), len(a), len(b), 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>, n int, m int, near boolean")
+    got = df.select("k", "near", "n", near_copies.long_sketches_allow(*(F.col(c) for c in "xynm")).alias("may")).collect()
+    assert all(r.may for r in got if r.near) and sum(r.near for r in got) > 20
+    assert not any(r.may for r in got if r.k % 2 == 0 and r.n > 600) and sum(not r.may for r in got) > 20
