@@ -10,7 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from shiftlens.sources.shared import delete, materialize, new_path, scratch, shared_dir, write_table
 
-__all__ = ["WORD", "delete", "lower_ascii", "map_rows", "materialize", "new_path", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "write_table"]
+__all__ = ["WORD", "delete", "lower_ascii", "map_rows", "materialize", "new_path", "scratch", "shared_dir", "shuffle_partitions", "slices", "table", "unused", "write_table"]
 
 #: A word, for Java, Python and DuckDB alike: a run without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,13 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.toDF(*(f"_{k}" for k in range(len(df.columns)))).mapInArrow(renamed, inner).toDF(*schema.names)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, for work whose results are larger than its texts."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
