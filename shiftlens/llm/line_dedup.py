@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from .common import map_rows, materialize, unused
+from .common import map_rows, materialize, slices, unused
 
 LAST = 2**63 - 1
 #: The hashes of a chunk's two lines.
@@ -64,7 +64,7 @@ def line_rows(docs: DataFrame, solo_words: int, hashed: Hash) -> DataFrame:
                 if text and chunks(text, solo_words):
                     out.update(text.split("\n"))
                     size += len(text)
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield pack(out)
                     out, size = set(), 0
             yield pack(out)
@@ -90,7 +90,7 @@ def chunk_rows(docs: DataFrame, solo_words: int, hashed: Hash) -> DataFrame:
                 if found:
                     keys = [hashed(x.encode("utf-8", "surrogatepass")) for x in text.split("\n")]
                     rows += [(doc_id, th, a, b, *keys[a], *(keys[a + 1] if b - a == 2 else (0, 0))) for a, b in found]
-                if len(rows) > 1 << 16:
+                if len(rows) > 1 << 13:
                     yield pack(rows)
                     rows = []
             yield pack(rows)
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, solo_words: int = 40, hashed: Hash = hash_pair)
     schema = docs.select(*plain).schema.add("text", "string").add("lines_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = [], []
             for cell, marks in zip(batch.column(len(others)), batch.column(len(others) + 1), strict=True):
                 text, n = cut(cell.as_py(), marks.as_py())

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, slices
 
 FEATURES = 256
 SEED = 20_240_229
@@ -135,7 +135,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and x (the statistics), a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 
@@ -268,7 +268,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float32).reshape(-1, SIZE).astype(np.float64)
             yield batch.filter(pa.array(model.score(x) >= accept, pa.bool_()))
 
