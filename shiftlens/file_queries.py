@@ -412,7 +412,7 @@ def repro_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ('fields of all', 'E_AUDIT_FIELDS_REQUIRES_PROFILE', ''), ('no such key', 'E_NO_KEY', 'key_column'), ('bad key', 'usage', ''), ('bad delimiter', 'usage', '')) v("case", code, detail)
     union all select 'other rows', 'E_ROWCOUNT', 'rows_new=' || count(*) from nation where n_nationkey <> 3"""
 )
-def option_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def refused_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options that don't go together, and inputs that can't be aligned."""
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     with profile_file("key: [n_nationkey]\n") as path:
