@@ -57,6 +57,11 @@ def shortest(x: float) -> str:
     return sci if len(sci) < len(plain) else plain
 
 
+def in_unit(text: str, power: int) -> str:
+    """What ``shortest`` gave for a whole multiple of a power of ten, with that power as its exponent."""
+    return text if text == "0" else f"{Decimal(text).scaleb(-power):f}e{power}"
+
+
 def value(x: float) -> str:
     return with_commas(int(x)) if float(x).is_integer() and abs(x) < 1e15 else shortest(x)
 
@@ -65,8 +70,12 @@ def signed(x: float) -> str:
     return "+0" if x == 0 else ("+" if x > 0 else "-") + value(abs(x))
 
 
+def points(x: float) -> str:
+    return f"{x:.1f}%"
+
+
 def percent(x: float) -> str:
-    return f"{x * 100:.1f}%"
+    return points(x * 100)
 
 
 def byte_name(b: int) -> str:

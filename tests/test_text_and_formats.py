@@ -118,3 +118,8 @@ def test_places_of_the_ledger_and_profiles(tmp_path, monkeypatch, capsys):
     assert os.stat(paths.ledger_path()).st_mode & 0o777 == 0o600 and (paths.profile_folder()).stat().st_mode & 0o777 == 0o700
     monkeypatch.setenv(paths.LEDGER, "/elsewhere")
     assert paths.ledger_path() == "/elsewhere"
+
+
+def test_shortest_is_normalised_and_in_unit_is_not():
+    assert [f.shortest(k * 1e12) for k in (0, 9, 10, 12, 5870)] == ["0", "9e12", "1e13", "1.2e13", "5.87e15"]
+    assert [f.in_unit(f.shortest(k * 1e12), 12) for k in (0, 9, 10, 12, 5870)] == ["0", "9e12", "10e12", "12e12", "5870e12"]
