@@ -1,7 +1,9 @@
-"""The near-dedup operator's other measure, shingle similarity: an exact self-join by prefix filter.
+"""The near-dedup operator's other measure, shingle similarity: SimHash first, then an exact self-join by prefix filter.
 
 Two texts of similarity 0.8 differ in about ten of 64 SimHash bits, which the pigeonhole
-can't search for beyond a small table; so the pipeline links by the sets themselves.
+can't search for beyond a small table. So the operator's search (fingerprints of the same
+shingles, within ``DISTANCE`` bits) gives the first candidates, which are decided on the
+sets, and the prefix filter finds all that is left.
 
 Texts are lower-cased in A-Z and cut into the set of their five-word shingles (a shorter
 text is one shingle). Two texts are near copies if their sets' Jaccard similarity is 0.8
@@ -17,9 +19,14 @@ by more shingles than such a sketch has bits, so it has a second one with as man
 shingles; of two lengths the longer is folded. What is left is decided on the sets, which
 are made again of the texts that are left.
 
+Nor does a shared shingle far down both prefixes make a candidate: of two sets' first
+shared shingle, the larger part of either lies behind it, 4/9 of both sizes at least.
+Long texts that share no more than passages of other texts mostly fail that within the
+join, which so makes no row of them.
+
 A large group of near copies would have as many pairs as the square of its size. So
-each set is first compared with a dozen classes (hubs) of each of its shingles only, and
-what that joins is not paired again.
+each set is first compared with the nearest fingerprints and with a dozen classes (hubs)
+of each of its shingles only, and what that joins is not paired again.
 
 Defined results: null and empty texts are one class; repeated rows share a class; an
 empty table gives an empty result.
@@ -34,10 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from . import simhash
 from .common import materialize, slices
 from .groups import components, light
 
 WIDTH = 5
+#: Bits that fingerprints of the first candidates may differ in.
+DISTANCE = 3
 #: Texts that the order of shingles is estimated from, about, and the common shingles that it keeps.
 SAMPLE, COMMON = 20_000, 100_000
 SKETCH = 256
@@ -48,12 +58,7 @@ PARITY = [f"p{k}" for k in range(SKETCH // 64)]
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted hashes (int64) of a text's distinct shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, the six ASCII spaces
-    if not words:
-        return np.empty(0, np.int64)
-    join = b" ".join
-    parts = {join(words)} if len(words) < width else set(map(join, zip(*(words[k:] for k in range(width)), strict=False)))
-    return np.sort(np.fromiter((xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts)).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, width).view(np.int64))
 
 
 def parity(shingles: np.ndarray, bits: int = SKETCH) -> np.ndarray:
@@ -68,7 +73,7 @@ def long_parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles, rare ones first, of which similar sets share one."""
+    """The shingles, rare ones first, of which similar sets share one; also their order in the whole set."""
     n = len(shingles)
     if not n:
         return shingles
@@ -94,21 +99,29 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def head(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix by 32 bits a shingle, and the (first) place of each in it."""
+    return np.unique(prefix(shingles, common, counts).astype(np.int32), return_index=True)
+
+
 def outlines(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (a hash of the text), cls (of the shingle set), n (its size), its sketch, its prefix and a number, a row per document."""
+    """doc_id, th (a hash of the text), cls (of the shingle set), n (its size), fp, its sketch, its prefix with places and a number, a row per document."""
     common, counts = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            hashes = [simhash.shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            fps = pa.array([simhash.signed(simhash.fingerprint_of(h)) for h in hashes], pa.int64())
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
             cls = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             sketch = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(PARITY))
             wide = pa.array([long_parity(s) for s in sets], pa.list_(pa.int64()))
-            heads = pa.array([np.unique(prefix(s, common, counts).astype(np.int32)) for s in sets], pa.list_(pa.int32()))
-            cols = [batch.column(0), batch.column(2), pa.array(cls), pa.array([len(s) for s in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(sketch[:, k].copy()) for k in range(len(PARITY))), wide, heads], names=["doc_id", "th", "cls", "n", *PARITY, "wide", "head"])
+            tokens, places = zip(*(head(s, common, counts) for s in sets), strict=True)
+            heads = [pa.array(tokens, pa.list_(pa.int32())), pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32()))]
+            cols = [batch.column(0), batch.column(2), pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), fps]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(sketch[:, k].copy()) for k in range(len(PARITY))), wide, *heads], names=["doc_id", "th", "cls", "n", "fp", *PARITY, "wide", "token", "place"])
 
-    schema = f"doc_id long, th long, cls long, n int, {', '.join(f'{p} long' for p in PARITY)}, wide array<long>, head array<int>"
+    schema = f"doc_id long, th long, cls long, n int, fp long, {', '.join(f'{p} long' for p in PARITY)}, wide array<long>, token array<int>, place array<int>"
     rows = docs.select(docs["doc_id"].cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, schema)
     return rows.withColumn("row", F.monotonically_increasing_id())
 
@@ -136,6 +149,22 @@ def may_be(x: str, y: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
 
 
+def may_start(x: str, y: str) -> Column:
+    """Whether two classes of the similarity can have this shingle as the first that they share."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return 9 * F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= 4 * (n + m)
+
+
+def by_fingerprint(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints the operator's search links; those of one fingerprint are paired with its least."""
+    first = materialize(marks.groupBy("fp").agg(F.min("cls").alias("cls")), "prints")
+    near = materialize(simhash.links(first.select("fp"), DISTANCE), "near")
+    x, y = (first.select(F.col("fp").alias(end), F.col("cls").alias(f"{end}_cls")) for end in "ab")
+    near = near.join(x, "a").join(y, "b").select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b"))
+    same = marks.select("fp", F.col("cls").alias("b")).join(first.withColumnRenamed("cls", "a"), "fp").where("a != b").select("a", "b")
+    return near.unionByName(same)
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a similarity of 0.8 or more."""
     a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
@@ -170,26 +199,29 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, width: int) ->
     ``classes`` has the row that stands for each class; its number is the class's here.
     """
     first_rows = found.drop("cls").join(light(classes.select("row")), "row", "left_semi").withColumnRenamed("row", "cls")
-    marks = materialize(first_rows.select("cls", "doc_id", "th", "n", *PARITY, "wide"), "marks")
-    heads = first_rows.select(F.explode("head").alias("token"), "cls")
+    marks = materialize(first_rows.select("cls", "doc_id", "th", "n", "fp", *PARITY, "wide"), "marks")
+    heads = first_rows.select(F.explode(F.arrays_zip("token", "place")).alias("at"), "cls", "n").select("at.token", "at.place", "cls", "n")
     again = heads.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     shared = materialize(heads.join(again, "token"), "shared")
 
-    hubs = shared.groupBy("token").agg(F.array(*(F.min(F.col("cls").bitwiseXOR(m)).bitwiseXOR(m) for m in HUBS)).alias("hubs"))
-    star = shared.join(hubs, "token").select("cls", F.explode(F.array_distinct("hubs")).alias("end")).where("cls != end")
-    star = star.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
+    hub = lambda m: F.min(F.struct(F.col("cls").bitwiseXOR(m).alias("key"), F.lit(m).alias("mask"), "place", "n"))
+    hubs = shared.groupBy("token").agg(F.array(*map(hub, HUBS)).alias("hubs"))
+    ends = F.array_distinct(F.transform("hubs", lambda h: F.struct(h["key"].bitwiseXOR(h["mask"]).alias("cls"), h["place"].alias("place"), h["n"].alias("n"))))
+    star = shared.join(hubs, "token").select(F.struct("cls", "place", "n").alias("x"), F.explode(ends).alias("y")).where((F.col("x.cls") != F.col("y.cls")) & may_start("x", "y"))
+    star = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    star = materialize(star.unionByName(by_fingerprint(marks)).distinct(), "star")
     tried = candidates(star, marks)
     first = materialize(similar(tried, shingle_sets(docs, marks, tried, width)), "near")
 
     # what is not joined yet: tokens that several groups share
     joined = components(first)
-    rooted = shared.join(joined, shared["cls"] == joined["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(joined, shared["cls"] == joined["node"], "left").select("token", "place", "cls", F.coalesce("root", "cls").alias("root"))
     rooted = materialize(rooted, "rooted")
     apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     at = rooted.join(apart, "token").join(marks.select("cls", "n", *PARITY), "cls")
     x, y = at.alias("x"), at.alias("y")
     other = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, other & may_be("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    rest = x.join(y, other & may_start("x", "y") & may_be("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     rest = candidates(rest.join(tried, ["a", "b"], "left_anti"), marks)
     return first.unionByName(materialize(similar(rest, shingle_sets(docs, marks, rest, width)), "near"))
 

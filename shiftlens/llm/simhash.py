@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import near_copies
 from .common import materialize
 from .groups import components, keep_least
 
@@ -46,19 +45,27 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def text_fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """The hashes (uint64) of a whole text's shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, the six ASCII spaces
-    if not words:
-        return 0
+    join = b" ".join
     if len(words) < width:
-        hashes = [xxh64_intdigest(b" ".join(words), 42)]
+        hashes = [xxh64_intdigest(join(words), 42)] if words else []
     else:
-        join = b" ".join
         hashes = [xxh64_intdigest(join(s), 42) for s in zip(*(words[k:] for k in range(width)), strict=False)]
-    h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.array(hashes, dtype="<u8")
+
+
+def text_fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a whole text."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of so many shingles; zero without any."""
+    h = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(h), 65_536):  # long texts in bounded memory
         ones += np.unpackbits(h[k : k + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -213,7 +220,10 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int | None = 3) -> DataF
 
     Rows that share that id go by the hash of their text, and of wholly repeated rows one
     stays. Without a ``distance`` documents are linked by the similarity of their shingle
-    sets, 0.8 or more, for which no distance of 64 bits that can be searched stands (see
+    sets, 0.8 or more, for which no distance of 64 bits that can be searched stands: the
+    fingerprints are searched first and an exact search goes through the rest (see
     ``near_copies``).
     """
+    from . import near_copies  # which searches fingerprints by this module
+
     return keep_least(docs, near_copies.classify(docs, width) if distance is None else classify(docs, width, distance))

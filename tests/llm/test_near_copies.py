@@ -74,3 +74,44 @@ def test_sketches_bound_the_difference(spark):
     got = df.select("k", "near", "n", near_copies.long_sketches_allow(*(F.col(c) for c in "xynm")).alias("may")).collect()
     assert all(r.may for r in got if r.near) and sum(r.near for r in got) > 20
     assert not any(r.may for r in got if r.k % 2 == 0 and r.n > 600) and sum(not r.may for r in got) > 20
+
+
+def test_stage_searches_fingerprints_first(spark, monkeypatch):
+    rng, asked, search = random.Random(9), [], simhash.links
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(f"w{rng.randrange(900)}" for _ in range(60))]
+    monkeypatch.setattr(simhash, "links", lambda fps, distance=3: asked.append((sorted(r.fp for r in fps.collect()), distance)) or search(fps, distance))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()) == [0, 2]
+    assert asked == [(sorted({simhash.signed(simhash.text_fingerprint(t, 5)) for t in texts}), near_copies.DISTANCE)]
+
+
+def test_candidates_by_fingerprint_join_what_is_near(spark):
+    rng = random.Random(10)
+    fps = [rng.getrandbits(64) for _ in range(20)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for f in fps for _ in range(3)]
+    marks = spark.createDataFrame([(k, simhash.signed(f)) for k, f in enumerate(fps)], "cls long, fp long")
+    pairs = [tuple(r) for r in near_copies.by_fingerprint(marks).collect()]
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3
+    assert all(a < b and near(a, b) for a, b in pairs)
+    found = set(pairs)
+    assert plain_components(range(len(fps)), lambda a, b: (a, b) in found) == plain_components(range(len(fps)), near)
+
+
+def test_a_first_shared_shingle_starts_every_similar_pair_and_few_others(spark):
+    rng = np.random.default_rng(11)
+    none, rows = np.empty(0, np.int64), []
+    for k in range(300):
+        n, m = (int(rng.integers(1, 400)) for _ in range(2))
+        m = n if k % 3 == 0 else int(n * 1.2) if k % 3 == 1 else m
+        pool = rng.integers(-(2**62), 2**62, 2 * max(n, m) + 2)
+        share = int(rng.integers(0, min(n, m) + 1)) if k % 2 else int(min(n, m) * 0.95)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:share], pool[n : n + m - share]]))
+        near = 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+        (ta, pa), (tb, pb) = near_copies.head(a, none, none), near_copies.head(b, none, none)
+        both, x, y = np.intersect1d(ta, tb, return_indices=True)
+        rows += [(k, bool(near), (len(a), int(pa[i])), (len(b), int(pb[j]))) for i, j in zip(x, y, strict=True)] or [(k, bool(near), (9, 9), (9, 9))]
+    df = spark.createDataFrame(rows, "k int, near boolean, x struct<n: int, place: int>, y struct<n: int, place: int>")
+    got = df.groupBy("k", "near").agg(F.max(near_copies.may_start("x", "y")).alias("may"), F.count(F.lit(1)).alias("shared")).collect()
+    assert sum(r.near for r in got) > 60 and all(r.may for r in got if r.near)
+    assert sum(not r.may for r in got if not r.near and r.shared > 1) > 5
